@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm import distinctive, frequency, markup, mixing, packing, tokens
+from tabularium.llm import canonical, distinctive, frequency, markup, mixing, packing, tokens
 from tabularium.llm.records import records
 from tabularium.llm.sql import SQL
 from tabularium.sources.tables import table
@@ -27,6 +27,20 @@ def p3_distintivos(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("posicao", F.row_number().over(w)).filter("posicao <= 5")
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_titles(spark, table(spark, d, "norma_autor"), table(spark, d, "cargos_canonicos"), table(spark, d, "autores"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry of each title that isn't normalised yet; 0 where none fits."""
+    return canonical.pending(spark, table(spark, d, "norma_autor"), _titles(spark, d))
+
+
+def p4_sem_entrada(spark: SparkSession, d: str) -> DataFrame:
+    """The typed titles that no entry fits, with their rows."""
+    return canonical.unmatched(spark, table(spark, d, "norma_autor"), _titles(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Headings, list items, code blocks and formulas marked up in the full texts."""
     found = markup.structural_elements(table(spark, d, "normas"), "id", "integra")
@@ -84,5 +98,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_distintivos, p5_found, p5_texto, p6_found, p6_frequencias, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
+    f.__name__: f for f in (p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
 }
