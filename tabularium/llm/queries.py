@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm import canonical, distinctive, frequency, markup, mixing, packing, tokens
+from tabularium.llm import canonical, distinctive, frequency, markov, markup, mixing, packing, tokens
 from tabularium.llm.records import records
 from tabularium.llm.sql import SQL
+from tabularium.session import stage
 from tabularium.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return stage(markov.similarity_groups(table(spark, d, "ementas_pre_processadas"), "id_norma", "embeddings"), "p1-grupos")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lowest norma of each group with each of the others."""
+    return markov.group_pairs(_groups(spark, d))
+
+
+def p1_grupos(spark: SparkSession, d: str) -> DataFrame:
+    """Each group by its lowest norma, with its size and five most typical normas."""
+    return markov.typical_members(_groups(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that 2 to 6 records share, with each record that holds them."""
     return distinctive.distinctive_terms(records(table(spark, d, "normas")), 2, 6).filter("llr > 0").select("id_norma", "termo")
@@ -98,5 +113,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
+    f.__name__: f for f in (p1_found, p1_grupos, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
 }
