@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm import canonical, distinctive, frequency, markov, markup, mixing, packing, tokens
+from tabularium.llm import canonical, distinctive, frequency, markov, markup, mixing, packing, subjects, tokens
 from tabularium.llm.records import records
 from tabularium.llm.sql import SQL
 from tabularium.session import stage
@@ -78,6 +78,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_frequencias(spark, d).filter(F.col("marca").isNotNull()).select("termo", "marca")
 
 
+def p7_areas(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each norma with their shares, labelled normas included."""
+    return subjects.subjects(records(table(spark, d, "normas")), table(spark, d, "norma_topicos"), table(spark, d, "topicos"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of the normas that have none yet."""
+    return p7_areas(spark, d).filter("not rotulado").select("id_norma", "id_topico")
+
+
+def p7_composicao(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the collection by subject area."""
+    return subjects.composition(p7_areas(spark, d))
+
+
 def p8_caixas(spark: SparkSession, d: str) -> DataFrame:
     """The container of each document, or of each part of one above the capacity."""
     return packing.pack(tokens.token_sizes(table(spark, d, "documents")))
@@ -113,5 +128,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_grupos, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
+    f.__name__: f for f in (p1_found, p1_grupos, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
 }
