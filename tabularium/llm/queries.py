@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm import canonical, distinctive, frequency, markov, markup, mixing, packing, subjects, tokens
+from tabularium.llm import abuse, canonical, distinctive, frequency, markov, markup, mixing, packing, subjects, tokens
 from tabularium.llm.records import records
 from tabularium.llm.sql import SQL
 from tabularium.session import stage
@@ -127,6 +127,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_partes(spark, d).filter("esgotada").select("source")
 
 
+def p10_notas(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each document and whether it reaches the threshold of its language."""
+    documents = table(spark, d, "documents")
+    return abuse.score_documents(documents, abuse.fit(documents, table(spark, d, "rotulos_revisao")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The abusive documents."""
+    return p10_notas(spark, d).filter("ofensivo").select("doc_id")
+
+
+def p10_taxas(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of abusive documents of each source."""
+    return abuse.source_rates(p10_notas(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_grupos, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes)
+    f.__name__: f for f in (p1_found, p1_grupos, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes, p10_found, p10_notas, p10_taxas)
 }
