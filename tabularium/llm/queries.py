@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm import abuse, canonical, distinctive, frequency, markov, markup, mixing, packing, subjects, tokens
+from tabularium.llm import abuse, canonical, distinctive, frequency, markov, markup, mixing, names, packing, subjects, tokens
 from tabularium.llm.records import records
 from tabularium.llm.sql import SQL
 from tabularium.session import stage
@@ -30,6 +30,20 @@ def p1_grupos(spark: SparkSession, d: str) -> DataFrame:
     return markov.typical_members(_groups(spark, d))
 
 
+def _people(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("autores", "norma_autor", "cargos_canonicos")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Authors that are one entity under several spellings, and other persons named inside titles."""
+    return names.found(*_people(spark, d))
+
+
+def p2_grafias(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of each author and its number of links."""
+    return names.spellings(*_people(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that 2 to 6 records share, with each record that holds them."""
     return distinctive.distinctive_terms(records(table(spark, d, "normas")), 2, 6).filter("llr > 0").select("id_norma", "termo")
@@ -144,5 +158,5 @@ def p10_taxas(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_grupos, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes, p10_found, p10_notas, p10_taxas)
+    f.__name__: f for f in (p1_found, p1_grupos, p2_found, p2_grafias, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes, p10_found, p10_notas, p10_taxas)
 }
