@@ -34,27 +34,53 @@ class Model:
     threshold: float
 
 
-def _bags(docs: pa.Array, vocabulary: dict[str, int], cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, padded term columns) of lists of terms, in groups of similar length; -1 pads. Terms outside the vocabulary are skipped."""
-    bags = [np.unique([vocabulary[t] for t in d if t in vocabulary]) if d else np.zeros(0) for d in docs.to_pylist()]
-    order = np.argsort([len(b) for b in bags], kind="stable")
+def encoded(docs: DataFrame, vocabulary: dict[str, int], topics: list[int], min_score: float) -> DataFrame:
+    """(id_norma, rotulos, colunas, ancoras): terms as sorted vocabulary columns, and the anchors of labelled documents.
+
+    Anchors are 1 for a document's subjects, little for doubtful ones, 0 for others and 0.3 for the background.
+    """
+    at, k = {t: i for i, t in enumerate(topics)}, len(topics)
+    schema = "id_norma bigint, rotulos array<struct<id_topico:int,score:double>>, colunas array<int>, ancoras array<float>"
+
+    def anchors(own: list | None) -> list | None:
+        if own is None:
+            return None
+        m = [0.0] * k + [0.3]
+        for label in own:
+            if label["id_topico"] in at:
+                m[at[label["id_topico"]]] = 0.02 if label["score"] is not None and label["score"] < min_score else 1.0
+        return m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [sorted({vocabulary[t] for t in d if t in vocabulary}) for d in batch.column(2).to_pylist()]
+            masks = [anchors(r) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.float32()))], names=["id_norma", "rotulos", "colunas", "ancoras"])
+
+    return docs.select("id_norma", F.col("rotulos").cast("array<struct<id_topico:int,score:double>>"), "termos").mapInArrow(run, schema)
+
+
+def _bags(lists: pa.Array, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, padded columns) of lists of columns, in groups of similar length; -1 pads."""
+    flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    lengths = np.diff(starts)
+    order = np.argsort(lengths, kind="stable")
     a = 0
     while a < len(order):
-        b, width = a, 1
-        while b < len(order) and (b - a + 1) * max(width, len(bags[order[b]])) <= max(cells, len(bags[order[b]])):
-            width = max(width, len(bags[order[b]]))
-            b += 1
-        rows = order[a : max(b, a + 1)]
-        columns = np.full((len(rows), max(width, max(len(bags[r]) for r in rows))), -1, np.int64)
-        for n, r in enumerate(rows):
-            columns[n, : len(bags[r])] = bags[r]
+        # the group ends where its rows times its longest list would pass the cells
+        widths = np.maximum(lengths[order[a:]], 1)
+        size = max(1, int(np.searchsorted(widths * np.arange(1, len(widths) + 1), cells, side="right")))
+        rows = order[a : a + size]
+        at = np.arange(max(int(lengths[rows].max()), 1))
+        inside = at < lengths[rows][:, None]
+        columns = np.where(inside, flat[np.where(inside, starts[rows][:, None] + at, 0)] if len(flat) else -1, -1)
         yield rows, columns
-        a += len(rows)
+        a += size
 
 
 def _solve(columns: np.ndarray, ht: np.ndarray, idf: np.ndarray, mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(W, gathered H, ratios X / WH) by multiplicative updates from mask; zeros of the mask stay zero."""
-    x = np.where(columns >= 0, idf[columns], 0.0)
+    x = np.where(columns >= 0, idf[columns], 0.0).astype(np.float32)
     hs = ht[columns]
     w = mask * (x.sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-12))[:, None]
     ratio = x
@@ -65,18 +91,6 @@ def _solve(columns: np.ndarray, ht: np.ndarray, idf: np.ndarray, mask: np.ndarra
     return w, hs, ratio
 
 
-def _masks(labels: list, at: dict[int, int], k: int, min_score: float) -> np.ndarray:
-    """Anchors: 1 for a document's subjects, little for doubtful ones, 0 for others, 0.3 for the background."""
-    m = np.zeros((len(labels), k + 1))
-    m[:, k] = 0.3
-    for n, own in enumerate(labels):
-        for label in own or ():
-            if label["id_topico"] in at:
-                doubtful = label["score"] is not None and label["score"] < min_score
-                m[n, at[label["id_topico"]]] = 0.02 if doubtful else 1.0
-    return m
-
-
 def labelled_records(records: DataFrame, labels: DataFrame) -> DataFrame:
     """(id_norma, termos, rotulos): rotulos is null where the record has no label; repeated labels count once, with their best score."""
     once = labels.filter(F.col("id_topico").isNotNull()).groupBy("id_norma", "id_topico").agg(F.max("score_pertinencia").alias("score"))
@@ -97,10 +111,11 @@ def fit(docs: DataFrame, topics: list[int], min_df: int = 5, max_terms: int = 50
     n = max(train.count(), 1)
     vocabulary = {r["termo"]: i for i, r in enumerate(terms)}
     idf = np.append(np.log(np.maximum(n / np.array([r["df"] for r in terms], float), 1.0)), 0.0)  # the last column pads
-    at = {t: i for i, t in enumerate(topics)}
     size = len(vocabulary)
     if not size or not k:
         return Model(topics, vocabulary, idf, np.zeros((k + 1, size + 1)), 0.28)
+    coded = stage(encoded(train, vocabulary, topics, min_score), "p7-treino")
+    weights = idf.astype(np.float32)
     h = None
     partials = "k int, grupo int, soma array<double>"
 
@@ -110,25 +125,25 @@ def fit(docs: DataFrame, topics: list[int], min_df: int = 5, max_terms: int = 50
     for _ in range(rounds + 1):
 
         def run(batches: Iterator[pa.RecordBatch], h=h) -> Iterator[pa.RecordBatch]:
-            ht = None if h is None else np.ascontiguousarray(h.T)
+            ht = None if h is None else np.ascontiguousarray(h.T, np.float32)
             total, part = np.zeros((size + 1, k + 1)), 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 part = batch.column(0)[0].as_py()
-                masks = _masks(batch.column(2).to_pylist(), at, k, min_score)
-                for rows, columns in _bags(batch.column(1), vocabulary):
+                masks = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k + 1)
+                for rows, columns in _bags(batch.column(1)):
                     if ht is None:  # seeds: each anchor's own documents
-                        share = masks[rows][:, None, :] * np.where(columns >= 0, idf[columns], 0.0)[:, :, None]
+                        share = masks[rows][:, None, :] * np.where(columns >= 0, weights[columns], 0.0)[:, :, None]
                     else:
-                        w, hs, ratio = _solve(columns, ht, idf, masks[rows], inner)
+                        w, hs, ratio = _solve(columns, ht, weights, masks[rows], inner)
                         share = hs * ratio[:, :, None] * w[:, None, :]
                     flat = columns.ravel()
                     for c in range(k + 1):
                         total[:, c] += np.bincount(np.where(flat < 0, size, flat), weights=share[:, :, c].ravel(), minlength=size + 1)
             yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array([part % 16] * (k + 1), pa.int32()), pa.array(list(total.T), pa.list_(pa.float64()))], names=["k", "grupo", "soma"])
 
-        parts = train.select(F.spark_partition_id().alias("p"), "termos", "rotulos").mapInArrow(run, partials)
+        parts = coded.select(F.spark_partition_id().alias("p"), "colunas", "ancoras").mapInArrow(run, partials)
         first = parts.groupBy("k", "grupo").applyInPandas(add, partials)
         sums = first.groupBy("k").applyInPandas(add, partials).collect()  # subjects + 1 rows
         h = np.zeros((k + 1, size + 1))
@@ -146,18 +161,19 @@ def mixtures(docs: DataFrame, model: Model, rounds: int = 40) -> DataFrame:
     k, size = len(model.topics), len(model.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ht = np.ascontiguousarray(model.h.T)
+        ht, weights = np.ascontiguousarray(model.h.T, np.float32), model.idf.astype(np.float32)
         for batch in batches:
             shares: list = [None] * batch.num_rows
             if size and k:
-                for rows, columns in _bags(batch.column(2), model.vocabulary):
-                    w = _solve(columns, ht, model.idf, np.ones((len(rows), k + 1)), rounds)[0][:, :k]
+                for rows, columns in _bags(batch.column(2)):
+                    w = _solve(columns, ht, weights, np.ones((len(rows), k + 1), np.float32), rounds)[0][:, :k].astype(np.float64)
                     total = w.sum(axis=1)
                     for r, own, t in zip(rows, w, total):
                         shares[r] = own / t if t > 1e-9 else None
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.list_(pa.float64()))], names=["id_norma", "rotulos", "partes"])
 
-    return docs.select("id_norma", F.col("rotulos").cast("array<struct<id_topico:int,score:double>>"), "termos").mapInArrow(run, schema)
+    coded = encoded(docs, model.vocabulary, model.topics, 0.0).select("id_norma", "rotulos", "colunas")
+    return coded.mapInArrow(run, schema)
 
 
 def chosen(mixed: DataFrame, model: Model, threshold: float) -> DataFrame:
