@@ -229,7 +229,7 @@ def pending(spark: SparkSession, norma_autor: DataFrame, mapped: DataFrame) -> D
     return spark.sql(
         """
         SELECT id_norma, id_autor, max(id_cargo) AS id_cargo
-        FROM {na} JOIN {m} USING (cargo_autor)
+        FROM (SELECT id_norma, id_autor, cargo_autor, cargo_autor_normalizado FROM {na}) JOIN {m} USING (cargo_autor)
         WHERE cargo_autor_normalizado IS NULL OR NOT cargo_autor_normalizado RLIKE '(?U)[^\\\\s]'
         GROUP BY id_norma, id_autor
         """,
@@ -242,7 +242,7 @@ def unmatched(spark: SparkSession, norma_autor: DataFrame, mapped: DataFrame) ->
     """(cargo_autor, linhas): typed titles without an entry, by anti-join with the matched ones."""
     return spark.sql(
         """
-        SELECT cargo_autor, count(*) AS linhas FROM {na} LEFT ANTI JOIN (SELECT cargo_autor FROM {m} WHERE id_cargo > 0) USING (cargo_autor)
+        SELECT cargo_autor, count(*) AS linhas FROM (SELECT cargo_autor FROM {na}) LEFT ANTI JOIN (SELECT cargo_autor FROM {m} WHERE id_cargo > 0) USING (cargo_autor)
         WHERE cargo_autor RLIKE '(?U)[^\\\\s]' GROUP BY cargo_autor
         """,
         na=norma_autor,
