@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import tokens
-from tabularium.functions.vectors import dot, unit
-from tabularium.operators.stats import corpus  # noqa: F401  (re-exported for callers that embed a corpus)
+from tabularium.functions.vectors import unit
 
 #: The multiplier of the 32-bit hash, its seeds for terms, and the seed for letter trigrams.
 MULTIPLIER, TERM_SEEDS, GRAM_SEED = 0x5BD1E995, (0x9747B28C, 0x1B873593, 0x5BD1E995), 0x27D4EB2D
@@ -164,13 +163,19 @@ def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42, s
     return centroids
 
 
-def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, cluster, sim): the centroid (cluster, centro) of highest dot product; the lowest number among equals.
+def nearest(vectors: DataFrame, centroids: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id, cluster, sim): the centroid (cluster, centro) of highest cosine; the lowest number among equals.
 
-    centroids has one row per cluster and is broadcast.
+    At most ``most`` centroids are gathered and multiplied with the vectors in Arrow batches; more are an error.
     """
-    pairs = vectors.join(F.broadcast(centroids))
-    return pairs.withColumn("s", F.round(dot(F.col("vetor"), F.col("centro")), 9)).groupBy("id").agg(F.max_by(F.struct("cluster", "s"), F.struct("s", -F.col("cluster"))).alias("m")).select("id", F.col("m.cluster").alias("cluster"), F.col("m.s").alias("sim"))
+    rows = centroids.orderBy("cluster").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centroids")
+    if not rows:
+        return vectors.limit(0).select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("sim"))
+    numbers = F.array(*[F.lit(r["cluster"]) for r in rows])
+    own = assign(vectors, np.array([r["centro"] for r in rows], dtype=float))
+    return own.select("id", F.get(numbers, F.col("cluster")).alias("cluster"), "sim")
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:

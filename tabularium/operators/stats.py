@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import sentences, tokens
+from tabularium.session import small, stage
 
 
 def corpus(normas: DataFrame, id_col: str = "id", text_col: str = "ementa", class_col: str = "tipoescrito", order_col: str = "coletado_em") -> DataFrame:
@@ -63,11 +64,12 @@ def join_terms(pairs: DataFrame, stats: DataFrame, n: int, how: str = "left") ->
     """pairs joined with the statistics (termo, df, ...) of their terms, without a hot task.
 
     Terms in more than one of a thousand documents are few (at most a thousand times the mean document length); they
-    are joined by broadcast. The others go through a shuffle join.
+    are joined by broadcast, behind a check of their number. The others go through a shuffle join.
     """
     hot_at = max(1000, n // 1000)
+    stats = stage(stats, "termos")
     hot = stats.filter(F.col("df") > hot_at)
-    marked = pairs.join(F.broadcast(hot.withColumn("quente", F.lit(True))), "termo", "left")
+    marked = pairs.join(small(hot.withColumn("quente", F.lit(True))), "termo", "left")
     values = [c for c in stats.columns if c != "termo"]
     done = marked.filter("quente").drop("quente")
     rest = marked.filter("quente IS NULL").drop("quente", *values).join(stats.filter(F.col("df") <= hot_at), "termo", how)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -56,6 +57,11 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return back
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most ``most`` rows, else without: joins then shuffle. Give it a staged table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table that ``stage`` wrote, once nothing reads it any more."""
     path = getattr(df, "_staged_path", None)
