@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.session import stage
+from tabularium.session import small, stage
 
 
 def source_shares(sizes: DataFrame, weights: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def mix(sizes: DataFrame, weights: DataFrame, seed: int = 7, buckets: int = 4096
     """
     sized = stage(sizes.filter(F.col("source").isNotNull() & (F.col("tokens") > 0)), "p9-tamanhos")
     shares = stage(source_shares(sized, weights), "p9-partes")  # one row per listed source
-    docs = sized.join(F.broadcast(shares.select("source", "copias", "resto", "tokens", "quadrados").withColumnsRenamed({"tokens": "todos"})), "source")
+    docs = sized.join(small(shares.select("source", "copias", "resto", "tokens", "quadrados").withColumnsRenamed({"tokens": "todos"})), "source")
     # inclusion probability in proportion to the size, so that the expected tokens of the sample are the rest
     p = F.least(F.lit(0.999), F.greatest(F.lit(1e-9), F.col("resto") * F.col("tokens") / F.col("quadrados")))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
@@ -53,7 +53,7 @@ def mix(sizes: DataFrame, weights: DataFrame, seed: int = 7, buckets: int = 4096
     w = Window.partitionBy("source").orderBy("balde")  # at most ``buckets`` rows per source
     cum = hist.withColumn("ate", F.sum("t").over(w)).withColumn("antes", F.col("ate") - F.col("t"))
     cut = stage(cum.filter((F.col("antes") < F.col("resto")) & (F.col("ate") >= F.col("resto"))).select("source", F.col("balde").alias("corte"), "antes"), "p9-cortes")
-    placed = ranked.join(F.broadcast(cut), "source", "left")
+    placed = ranked.join(small(cut), "source", "left")
     below = placed.filter(F.col("balde") != F.coalesce("corte", F.lit(-1))).withColumn(
         "extra", ((F.col("resto") > 0) & (F.col("balde") < F.coalesce("corte", F.lit(buckets)))).cast("int")
     )
@@ -69,7 +69,7 @@ def actual_shares(mixed: DataFrame, shares: DataFrame) -> DataFrame:
     """(source, peso_alvo, tokens_alvo, tokens_usados, parte_real, esgotada) per listed source."""
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"))
     grand = int(used.agg(F.sum("usados")).first()[0] or 0)
-    return shares.join(F.broadcast(used), "source", "left").select(
+    return shares.join(used, "source", "left").select(
         "source",
         "peso_alvo",
         F.round("alvo", 3).alias("tokens_alvo"),
