@@ -6,8 +6,10 @@ Lineage is cut only by ``stage`` (a Parquet table in the shared folder that the
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,23 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return back
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session: they needn't have it installed or on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabularium_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(sc._temp_dir, "tabularium.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tabularium", os.path.relpath(full, root)))
+    sc.addPyFile(at)
+    sc._tabularium_shipped = True
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most ``most`` rows, else without: joins then shuffle. Give it a staged table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
