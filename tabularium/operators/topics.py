@@ -92,7 +92,7 @@ def matrix(docs: DataFrame, min_df: int = 4, max_share: float = 0.22) -> DataFra
     return cells.select("id", "termo", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("id")))).alias("peso"))
 
 
-def factorize(cells: DataFrame, k: int = 12, rounds: int = 12, inner: int = 4, seed: int = 42, max_terms: int = 100_000) -> tuple[list[str], np.ndarray]:
+def factorize(cells: DataFrame, k: int = 12, rounds: int = 25, inner: int = 4, seed: int = 42, max_terms: int = 100_000) -> tuple[list[str], np.ndarray]:
     """(terms, H) of the factorisation of cells (id, termo, peso) by multiplicative updates.
 
     Tasks solve W for their documents and give one partial of W'X and W'W; only those sums and H are gathered. H has
@@ -102,32 +102,48 @@ def factorize(cells: DataFrame, k: int = 12, rounds: int = 12, inner: int = 4, s
     at = {t: i for i, t in enumerate(terms)}
     if not terms:
         return [], np.zeros((k, 0))
-    rows = cells.groupBy("id").agg(F.collect_list("termo").alias("t"), F.collect_list("peso").alias("p"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [[(at[w], p) for w, p in zip(*r) if w in at] for r in zip(*(c.to_pylist() for c in batch.columns))]
+            pairs = [r for r in pairs if r]
+            yield pa.RecordBatch.from_arrays([pa.array([[x[n] for x in r] for r in pairs], pa.list_(kind)) for n, kind in enumerate((pa.int32(), pa.float64()))], names=["t", "p"])
+
+    # terms are numbered once, not in every round
+    rows = cells.groupBy("id").agg(F.collect_list("termo").alias("t"), F.collect_list("peso").alias("p")).select("t", "p").mapInArrow(encode, "t array<int>, p array<double>").persist()
     h = np.random.default_rng(seed).uniform(0.01, 1.0, (k, len(terms)))
     size = len(terms)
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], h=h) -> Iterator[pa.RecordBatch]:
             wx, ww = np.zeros((k, size)), np.zeros((k, k))
-            hh = h @ h.T
+            hh, columns = h @ h.T, np.ascontiguousarray(h.T)
             for batch in batches:
-                for words, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    idx = np.array([at[w] for w in words if w in at], int)
-                    if not len(idx):
-                        continue
-                    val = np.array([p for w, p in zip(words, weights) if w in at])
-                    w, num = np.full(k, 0.5), h[:, idx] @ val
+                ends = np.cumsum(batch.column(0).value_lengths().to_numpy())
+                every, weights = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+                first = 0
+                while first < len(ends):  # whole documents, some 100,000 cells at a time
+                    begin = ends[first - 1] if first else 0
+                    last = max(first + 1, int(np.searchsorted(ends, begin + 100_000, "right")))
+                    idx, val = every[begin : ends[last - 1]], weights[begin : ends[last - 1]]
+                    lengths = np.diff(ends[first:last], prepend=begin)
+                    num = np.add.reduceat(columns[idx] * val[:, None], np.cumsum(lengths) - lengths)
+                    w = np.full((len(lengths), k), 0.5)
                     for _ in range(inner):
-                        w = w * num / (hh @ w + 1e-9)
-                    wx[:, idx] += np.outer(w, val)
-                    ww += np.outer(w, w)
+                        w = w * num / (w @ hh + 1e-9)
+                    spread = np.repeat(w, lengths, axis=0) * val[:, None]
+                    for j in range(k):
+                        wx[j] += np.bincount(idx, spread[:, j], size)
+                    ww += w.T @ w
+                    first = last
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(np.hstack([wx, ww])), pa.list_(pa.float64()))], names=["k", "s"])
 
-        parts = rows.select("t", "p").mapInArrow(run, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v")).filter("v <> 0").groupBy("k", "i").agg(F.sum("v").alias("v"))
+        parts = rows.mapInArrow(run, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v")).filter("v <> 0").groupBy("k", "i").agg(F.sum("v").alias("v"))
         total = np.zeros((k, size + k))
         for r in parts.collect():  # k x (terms + k) numbers
             total[r["k"], r["i"]] = r["v"]
         h = h * total[:, :size] / (total[:, size:] @ h + 1e-9)
+    rows.unpersist()
     return terms, h
 
 
@@ -137,9 +153,10 @@ def topic_terms(terms: list[str], h: np.ndarray, top: int = 8) -> list[list[str]
 
 
 def assign_topics(cells: DataFrame, terms: list[str], h: np.ndarray, rounds: int = 20) -> DataFrame:
-    """(id, id_topico, score): the topic of largest weight (the lowest among equals) and its share, per document."""
+    """(id, id_topico, score, termos_chave): the topic of largest weight (the lowest among equals), its share and its five main terms, per document."""
     at = {t: i for i, t in enumerate(terms)}
     k = len(h)
+    key_terms = [", ".join(t) for t in topic_terms(terms, h, 5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hh = h @ h.T
@@ -154,10 +171,10 @@ def assign_topics(cells: DataFrame, terms: list[str], h: np.ndarray, rounds: int
                 ids.append(key)
                 best.append(int(w.argmax()) + 1)
                 share.append(float(w.max() / w.sum()) if w.sum() > 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(share, pa.float64())], names=["id", "id_topico", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(share, pa.float64()), pa.array([key_terms[b - 1] for b in best], pa.string())], names=["id", "id_topico", "score", "termos_chave"])
 
     rows = cells.groupBy("id").agg(F.collect_list("termo").alias("t"), F.collect_list("peso").alias("p"))
-    return rows.select(F.col("id").cast("bigint"), "t", "p").mapInArrow(run, "id bigint, id_topico int, score double")
+    return rows.select(F.col("id").cast("bigint"), "t", "p").mapInArrow(run, "id bigint, id_topico int, score double, termos_chave string")
 
 
 def author_profiles(bridge: DataFrame, norma_topicos: DataFrame, labels: DataFrame, autores: DataFrame, min_normas: int = 5) -> DataFrame:

@@ -146,6 +146,35 @@ def test_factorisation_separates_blocks(spark):
     assert topics.factorize(df.limit(0), k=2)[0] == []
 
 
+def test_factorisation_is_as_good_as_a_plain_one(spark):
+    rng, k, x = np.random.default_rng(0), 4, np.zeros((80, 32))
+    for i in range(len(x)):
+        own, other = rng.choice(8, 5, replace=False) + 8 * (i % k), rng.choice(32, 2, replace=False)
+        x[i, own] = x[i, other] = 1
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    # the reference: 25 rounds, W kept from round to round
+    rng = np.random.default_rng(42)
+    w, plain = rng.uniform(0.01, 1, (80, k)), rng.uniform(0.01, 1, (k, 32))
+    for _ in range(25):
+        plain *= (w.T @ x + 1e-9) / (w.T @ w @ plain + 1e-9)
+        w *= (x @ plain.T + 1e-9) / (w @ plain @ plain.T + 1e-9)
+
+    def residual(h):
+        w = np.full((80, k), 0.5)
+        for _ in range(300):
+            w *= x @ h.T / (w @ h @ h.T + 1e-9)
+        return ((x - w @ h) ** 2).sum()
+
+    cells = spark.createDataFrame([(i, f"t{j:02}", float(x[i, j])) for i, j in zip(*(a.tolist() for a in np.nonzero(x)))], "id bigint, termo string, peso double")
+    terms, h = topics.factorize(cells, k)
+    assert residual(h) <= 1.001 * residual(plain)
+    main = lambda m: {frozenset(t) for t in topics.topic_terms([f"t{j:02}" for j in range(32)], m)}
+    assert main(h) == main(plain)
+    best = topics.assign_topics(cells, terms, h).collect()
+    assert {r["id"]: set(r["termos_chave"].split(", ")) <= {f"t{j + 8 * (r['id'] % k):02}" for j in range(8)} for r in best} == {i: True for i in range(80)}
+    assert all(len(r["termos_chave"].split(", ")) == 5 for r in best)
+
+
 def test_upserts(spark):
     target = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id bigint, p string, q string")
     source = spark.createDataFrame([(2, "B"), (3, "c")], "id bigint, p string")
