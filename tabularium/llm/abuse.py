@@ -11,6 +11,7 @@ calibrated by language. Every document is scored whole, sentence by sentence, in
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -297,30 +298,42 @@ def train(docs: list[tuple[list[tuple[str, ...]], int]], others: list[list[tuple
     return model
 
 
-def calibrate(model: Model, scored: list[tuple[str | None, float, int]], least: int = 40, clean_weight: float = 1.0) -> None:
-    """Set the thresholds: the best F1 over all held-out documents, and a language's own where it has ``least`` of them
-    and five abusive ones. ``clean_weight`` is how many judged clean documents one of the sample stands for."""
+GRID = tuple(i / 100 for i in range(20, 95, 5))
 
-    def best(rows: list[tuple[float, int]]) -> float:
-        grid = [i / 100 for i in range(20, 95, 5)]
+
+def calibrate(model: Model, counts: list[tuple[str | None, int, int, list[int], float]], least: int = 40) -> None:
+    """Set the thresholds: the best F1 over all counted documents, and a language's own where it has ``least`` of them
+    and five abusive ones. counts: (lang, label, documents, how many reach each threshold of GRID, weight of each)."""
+
+    def best(rows: list) -> float:
+        true = sum(w * n for _, y, n, _, w in rows if y)
         f1 = []
-        for t in grid:
-            hit, true = sum(y for s, y in rows if s >= t), sum(y for _, y in rows)
-            said = sum(1 if y else clean_weight for s, y in rows if s >= t)
+        for t in range(len(GRID)):
+            hit, said = sum(w * over[t] for _, y, _, over, w in rows if y), sum(w * over[t] for _, _, _, over, w in rows)
             f1.append(2 * hit / max(said + true, 1))
-        near = [t for t, f in zip(grid, f1) if f >= max(f1) - 0.005]
+        near = [t for t, f in zip(GRID, f1) if f >= max(f1) - 0.005]
         return min(near, key=lambda t: abs(t - 0.5))
 
-    if sum(y for _, _, y in scored) >= 5:
-        model.default = best([(s, y) for _, s, y in scored])
-    for lang in {x[0] for x in scored if x[0]}:
-        own = [(s, y) for l, s, y in scored if l == lang]
-        if len(own) >= least and sum(y for _, y in own) >= 5:
+    if sum(x[2] for x in counts if x[1]) >= 5:
+        model.default = best(counts)
+    for lang in {x[0] for x in counts if x[0]}:
+        own = [x for x in counts if x[0] == lang]
+        if sum(x[2] for x in own) >= least and sum(x[2] for x in own if x[1]) >= 5:
             model.thresholds[lang] = best(own)
 
 
-def judged(documents: DataFrame, reviews: DataFrame, max_docs: int, max_others: int) -> tuple[list, float]:
-    """(rows of (doc_id, text, lang, rotulo), judged clean documents per sampled one).
+def judged_counts(documents: DataFrame, labels: DataFrame, model: Model) -> list[tuple[str | None, int, int, list[int], float]]:
+    """The counts for ``calibrate`` of all documents with a label in labels (doc_id, rotulo): a row per language and label is gathered."""
+    # language and label travel in the place of the source
+    scored = score_documents(documents.select("doc_id", "text", "lang").join(labels, "doc_id").select("doc_id", F.to_json(F.struct("lang", "rotulo"), {"ignoreNullFields": "false"}).alias("source"), "text", "lang"), model)
+    over = [F.count_if(F.col("nota") >= t).alias(f"t{n}") for n, t in enumerate(GRID)]
+    rows = scored.groupBy("source").agg(F.count("*").alias("n"), *over).collect()
+    keys = [json.loads(r["source"]) for r in rows]
+    return [(k["lang"], k["rotulo"], r["n"], [r[f"t{n}"] for n in range(len(GRID))], 1.0) for k, r in zip(keys, rows)]
+
+
+def judged(documents: DataFrame, reviews: DataFrame, max_docs: int, max_others: int) -> tuple[list, DataFrame | None]:
+    """(rows of (doc_id, text, lang, rotulo), the labels (doc_id, rotulo) outside the sample, or null if there are none).
 
     rotulo is null for the max_others documents without a judgement that come first in an order by hash.
 
@@ -337,25 +350,32 @@ def judged(documents: DataFrame, reviews: DataFrame, max_docs: int, max_others:
     chosen = documents.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id")
     rest = documents.select("doc_id").filter(F.col("text").isNotNull()).join(labels, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_others)
     rows = chosen.collect() + documents.select("doc_id", "text", "lang").join(F.broadcast(rest), "doc_id").withColumn("rotulo", F.lit(None).cast("int")).collect()
-    return sorted(rows, key=lambda r: r["doc_id"]), totals.get(0, 0) / max(clean, 1)
+    outside = labels.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti") if sum(totals.values()) > bad + clean else None
+    return sorted(rows, key=lambda r: r["doc_id"]), outside
 
 
 def fit(documents: DataFrame, reviews: DataFrame, max_docs: int = 3000, max_others: int = 1000) -> Model:
-    """The classifier, fitted on at most ``max_docs`` judged documents and ``max_others`` others; its thresholds come from a held-out fifth of the judged ones."""
-    rows, clean_weight = judged(documents, reviews, max_docs, max_others)
+    """The classifier, fitted on at most ``max_docs`` judged documents and ``max_others`` others.
+
+    Its thresholds come from all judged documents outside this sample and from a held-out fifth of it, which stands for the whole sample.
+    """
+    rows, outside = judged(documents, reviews, max_docs, max_others)
     others = [sentences(r["text"]) for r in rows if r["rotulo"] is None]
     rows = [r for r in rows if r["rotulo"] is not None]
     docs = [(sentences(r["text"]), r["rotulo"], r["lang"]) for r in rows]
-    scored = []
+    counts = []
     if len(docs) >= 50:
         held = [i for i in range(len(docs)) if zlib.crc32(str(rows[i]["doc_id"]).encode()) % 5 == 0]
         rest = sorted(set(range(len(docs))) - set(held))
         first = train([(docs[i][0], docs[i][1]) for i in rest], others[: len(others) // 2], epochs=8)
         for i in held:
             s = first.score(docs[i][0])
-            scored.append((docs[i][2], float(s.max()) if len(s) else 0.0, docs[i][1]))
+            top = float(s.max()) if len(s) else 0.0
+            counts.append((docs[i][2], docs[i][1], 1, [int(top >= t) for t in GRID], len(docs) / len(held)))
+        if outside is not None:
+            counts += judged_counts(documents, outside, first)
     model = train([(s, y) for s, y, _ in docs], others)
-    calibrate(model, scored, clean_weight=clean_weight)
+    calibrate(model, counts)
     return model
 
 

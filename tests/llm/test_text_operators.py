@@ -1,6 +1,7 @@
 """Markup, abuse, packing, mixing and subjects: literal cases, edge cases, brute force, held-out accuracy."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,20 @@ def test_scoring_of_documents(spark):
     assert abuse.score_documents(df.limit(0), model).count() == 0
 
 
+def test_every_language_is_calibrated_on_judgements_outside_the_sample(spark):
+    rude, kind = "{} seu verme imundo, você é um lixo", "{} o relatório anual trata de receitas e despesas"
+    docs = [(n, (rude if n % 5 == 0 else kind).format(n), "es" if n % 6 == 0 else "pt") for n in range(600)]
+    documents = spark.createDataFrame([(n, None, t, lang) for n, t, lang in docs], "doc_id bigint, source string, text string, lang string")
+    reviews = spark.createDataFrame([(n, int(n % 5 == 0)) for n, _, _ in docs], "doc_id bigint, ofensivo int")
+    rows, outside = abuse.judged(documents, reviews, 100, 10)
+    own = {r["doc_id"] for r in rows}
+    assert len(own) == 100 and {r["doc_id"] for r in outside.collect()} == set(range(600)) - own
+    counts = abuse.judged_counts(documents, outside, abuse.train([], epochs=2))
+    want = Counter((lang, int(n % 5 == 0)) for n, _, lang in docs if n not in own)
+    assert {(c[0], c[1]): c[2] for c in counts} == dict(want)
+    assert "es" in abuse.fit(documents, reviews, max_docs=100, max_others=10).thresholds
+
+
 def test_subjects_recover_blocks(spark):
     words = {1: "credito dotacao despesa receita".split(), 2: "onibus ciclovia transito faixa".split(), 3: "creche aluno ensino merenda".split()}
     rng = random.Random(4)
