@@ -120,8 +120,8 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
         "p4-corrigidas",
     )
     missed = stage(spark.sql("SELECT w.s, linhas FROM {w} w LEFT SEMI JOIN {u} u ON w.s = u.s LEFT ANTI JOIN {c} c ON w.s = c.s WHERE length(w.s) >= 3", w=words, u=unknown, c=corrected), "p4-restantes")
-    # typing errors of other frequent words (abbreviations, feminine forms, other names of an entry) mean what those mean
-    frequent = spark.sql("SELECT s AS ref, linhas FROM {w} WHERE linhas >= 20 AND length(s) >= 4", w=words)
+    # typing errors of far commoner words (abbreviations, feminine forms, other names of an entry) mean what those mean
+    frequent = spark.sql("SELECT s AS ref, linhas FROM {w} WHERE length(s) >= 4", w=words)
     likened = stage(
         spark.sql(
             f"""
@@ -145,7 +145,7 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
     direct = spark.sql(
         f"""
         SELECT s, CASE WHEN n.s IS NOT NULL OR coalesce(palavra, w.s) IN ({_quoted(STATUS + ABBREVIATED_STATUS + HONORIFICS)}) THEN NULL ELSE coalesce(palavra, w.s) END AS palavra,
-               palavra IS NOT NULL OR v.ref IS NOT NULL OR linhas > 3 AS conhecida
+               palavra IS NOT NULL OR v.ref IS NOT NULL AS explicada
         FROM {{w}} w LEFT JOIN {{c}} c USING (s) LEFT JOIN {{v}} v ON w.s = v.ref LEFT JOIN {{n}} n USING (s)
         """,
         w=words,
@@ -153,15 +153,37 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
         v=vocabulary,
         n=personal,
     )
-    meaning = stage(
+    senses = stage(
         spark.sql(
-            "SELECT d.s, d.palavra, d.conhecida FROM {d} d LEFT ANTI JOIN {l} l USING (s) UNION ALL SELECT l.s, d.palavra, true FROM {l} l JOIN {d} d ON l.ref = d.s",
+            "SELECT d.s, d.palavra, d.explicada FROM {d} d LEFT ANTI JOIN {l} l USING (s) UNION ALL SELECT l.s, d.palavra, d.explicada FROM {l} l JOIN {d} d ON l.ref = d.s",
             d=direct,
             l=likened,
         ),
-        "p4-sentidos",
+        "p4-direto",
     )
     signature = "array_join(array_sort(array_distinct(collect_list({}))), ' ')"
+    own = spark.sql(
+        f"""
+        SELECT array_join(array_sort(array_distinct(filter(palavras, w -> w NOT IN ({_quoted(STATUS)})))), ' ') AS ref, min(id_cargo) AS id_cargo FROM {{e}} GROUP BY 1
+        """,
+        e=entries,
+    )
+    # a word that no join explains is known where the normalised titles that hold it mostly mean another entry than without it
+    telling = spark.sql(
+        f"""
+        SELECT palavra FROM (
+          SELECT explode(outras) AS palavra, coalesce(e.id_cargo, 0) <> coalesce(o.id_cargo, 0) AS outra FROM (
+            SELECT cargo_autor, normalizado, {signature.format('CASE WHEN explicada THEN palavra END')} AS resto, collect_set(CASE WHEN NOT explicada THEN palavra END) AS outras
+            FROM (SELECT cargo_autor, normalizado, explode(palavras) AS s FROM {{t}} WHERE normalizado IS NOT NULL) JOIN {{m}} USING (s) GROUP BY cargo_autor, normalizado
+          ) LEFT JOIN {{o}} o ON resto = o.ref LEFT JOIN {{e}} e ON normalizado = e.cargo
+        ) GROUP BY palavra HAVING 2 * count_if(outra) > count(*)
+        """,
+        t=typed,
+        m=senses,
+        o=own,
+        e=entries,
+    )
+    meaning = stage(spark.sql("SELECT s, m.palavra, explicada OR t.palavra IS NOT NULL AS conhecida FROM {m} m LEFT JOIN {t} t ON m.palavra = t.palavra", m=senses, t=telling), "p4-sentidos")
     signed = stage(
         spark.sql(
             f"""
@@ -186,15 +208,9 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
         s=signed,
         e=entries,
     )
-    own = spark.sql(
-        f"""
-        SELECT array_join(array_sort(array_distinct(filter(palavras, w -> w NOT IN ({_quoted(STATUS)})))), ' ') AS ref, min(id_cargo) AS id_cargo FROM {{e}} GROUP BY 1
-        """,
-        e=entries,
-    )
     references = stage(
         spark.sql(
-            "SELECT ref, id_cargo FROM {own} UNION ALL SELECT ref, id_cargo FROM {taught} t LEFT ANTI JOIN {own} o USING (ref) WHERE parte >= {share} AND linhas >= 2",
+            "SELECT ref, id_cargo FROM {own} UNION ALL SELECT ref, id_cargo FROM {taught} t LEFT ANTI JOIN {own} o USING (ref) WHERE parte >= {share}",
             own=own,
             taught=taught,
             share=min_share,

@@ -145,6 +145,17 @@ def test_titles(spark):
     assert canonical.map_titles(spark, na.limit(0), cargos, autores).count() == 0
 
 
+def test_titles_do_not_depend_on_repeated_rows(spark):
+    cargos = spark.createDataFrame([(1, "SECRETARIO MUNICIPAL DE SAUDE"), (2, "PREFEITO")], "id_cargo int, cargo string")
+    autores = spark.createDataFrame([(1, "MARIA SILVA")], "id bigint, nome string")
+    titles = [("SECRETÁRIO DE SAÚDE XYLOFRUZ", None), ("Capelão", "CAPELAO"), ("Prefeito Capelão", "CAPELAO"), ("Prefeito", "PREFEITO"), ("Alcaide", "PREFEITO")]
+    maps = []
+    for times in (1, 7):
+        na = spark.createDataFrame([(n, 1, t, done) for n, (t, done) in enumerate(titles * times)], "id_norma bigint, id_autor bigint, cargo_autor string, cargo_autor_normalizado string")
+        maps.append({r["cargo_autor"]: r["id_cargo"] for r in canonical.map_titles(spark, na, cargos, autores).collect()})
+    assert maps[0] == maps[1] == {"SECRETÁRIO DE SAÚDE XYLOFRUZ": 1, "Capelão": 0, "Prefeito Capelão": 0, "Prefeito": 2, "Alcaide": 2}
+
+
 def test_name_forms():
     assert names.form("VILHEIROS, Amostozima C.") == (["amostozima", "c", "vilheiros"], "")
     assert names.form("Dra. Nazarecaste de Falcadim Fº") == (["nazarecaste", "falcadim"], "filho")
