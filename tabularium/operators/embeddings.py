@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,65 +102,107 @@ class Lcg:
         return ((self.bits(26) << 27) + self.bits(27)) / (1 << 53)
 
 
-def seed_centroids(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
-    """k start centroids out of the rows of x: the next is drawn in proportion to the squared distance to the nearest one."""
-    dice = Lcg(seed)
-    chosen = [dice.integer(len(x))]
-    far = np.maximum(0.0, 1.0 - x @ x[chosen[0]])
-    while len(chosen) < k:
-        square = far * far
-        total = float(square.sum())
-        at = int(np.searchsorted(np.cumsum(square), dice.real() * total)) if total > 0 else dice.integer(len(x))
-        chosen.append(min(at, len(x) - 1))
-        far = np.minimum(far, np.maximum(0.0, 1.0 - x @ x[chosen[-1]]))
-    return x[chosen]
-
-
-def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42, sample: int = 20_000) -> np.ndarray:
+def _unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    v = np.array(column.to_pylist(), dtype=float).reshape(-1, dim)
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def pick(ordered: DataFrame, dim: int, draw: Callable[[float, int], tuple[float, bool]], chosen: np.ndarray | None) -> np.ndarray:
+    """A row of ordered (id, vetor), by cumulative weight in its order: 1 each, or with chosen the squared distance to the nearest of them.
+
+    draw gives, for the total weight and the number of rows, the weight to reach and whether rows weigh 1 after all. One
+    weight and count per task is gathered, then one row.
+    """
+
+    def weights(v: np.ndarray, even: bool) -> np.ndarray:
+        return np.ones(len(v)) if even or chosen is None else np.maximum(0.0, 1.0 - v @ chosen.T).min(axis=1) ** 2
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0.0, 0
+        for batch in batches:
+            v = _unit_rows(batch.column(0), dim)
+            total, n = total + float(weights(v, False).sum()), n + len(v)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total]), pa.array([n], pa.int64())], names=["parte", "soma", "n"])
+
+    parts = sorted((r for r in ordered.select("vetor").mapInArrow(sums, "parte int, soma double, n bigint").collect() if r["n"]), key=lambda r: r["parte"])
+    goal, even = draw(sum(r["soma"] for r in parts), sum(r["n"] for r in parts))
+    before = 0.0
+    for r in parts:
+        own = r["n"] if even else r["soma"]
+        if before + own >= goal or r is parts[-1]:
+            break
+        before += own
+    part, goal = r["parte"], goal - before
+
+    def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() != part:
+            return
+        reached, last = 0.0, None
+        for batch in batches:
+            v = _unit_rows(batch.column(0), dim)
+            if not len(v):
+                continue
+            w = reached + np.cumsum(weights(v, even))
+            at = int(np.searchsorted(w, goal))
+            last, reached = v[min(at, len(v) - 1)], float(w[-1])
+            if at < len(v):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([last.tolist()], pa.list_(pa.float64()))], names=["vetor"])
+
+    return np.array(ordered.select("vetor").mapInArrow(row, "vetor array<double>").collect()[0]["vetor"])
+
+
+def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42) -> np.ndarray:
     """Centroids (k x dim) of spherical k-means over vectors (id, vetor).
 
-    Centroids start from a sample of at most ``sample`` rows, the lowest ids; every round then runs over all rows,
-    as one partial sum per task. An empty cluster is set to a vector of the sample. k is cut to the number of rows;
-    k < 1 is an error, an empty table gives no centroids. Mixed lengths are an error.
+    The start centroids are drawn over all rows in the order of their ids, one pass each: the next in proportion to the
+    squared distance to the nearest one. Every round then runs over all rows, as one partial sum per task. An empty
+    cluster is set to a row drawn evenly. k is cut to the number of rows; k < 1 is an error, an empty table gives no
+    centroids. Mixed lengths are an error.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    start = vectors.filter(F.col("vetor").isNotNull()).orderBy("id").limit(sample).select("vetor").collect()
-    if not start:
+    vectors = vectors.filter(F.col("vetor").isNotNull()).select("id", F.col("vetor").cast("array<double>").alias("vetor"))
+    shape = vectors.agg(F.count("*").alias("n"), F.min(F.size("vetor")).alias("a"), F.max(F.size("vetor")).alias("b")).first()
+    if not shape["n"]:
         return np.zeros((0, 0))
-    if len({len(r["vetor"]) for r in start}) > 1:
+    if shape["a"] != shape["b"]:
         raise ValueError("vectors of different lengths")
-    x = np.array([r["vetor"] for r in start], dtype=float)
-    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-    k = min(k, len(x))
-    centroids, dice = seed_centroids(x, k, seed), Lcg(seed + 1)
-    dim = x.shape[1]
+    dim, k = shape["a"], min(k, shape["n"])
+    vectors = vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor").persist()
+    dice = Lcg(seed)
+    evenly = lambda d: lambda total, n: (d.integer(n) + 1, True)
+    far = lambda total, n: (dice.real() * total, False) if total > 0 else (dice.integer(n) + 1, True)
+    centroids = pick(vectors, dim, evenly(dice), None)[None]
+    while len(centroids) < k:
+        centroids = np.vstack([centroids, pick(vectors, dim, far, centroids)])
+    dice = Lcg(seed + 1)
 
     for _ in range(rounds):
 
         def partial(batches: Iterator[pa.RecordBatch], c=centroids) -> Iterator[pa.RecordBatch]:
             sums, counts = np.zeros((k, dim)), np.zeros(k, np.int64)
             for batch in batches:
-                v = np.array(batch.column(0).to_pylist(), dtype=float).reshape(-1, dim)
-                v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+                v = _unit_rows(batch.column(0), dim)
                 own = (v @ c.T).argmax(axis=1)
                 np.add.at(sums, own, v)
                 counts += np.bincount(own, minlength=k)
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(counts), pa.array(list(sums), pa.list_(pa.float64()))], names=["k", "n", "soma"])
 
-        parts = vectors.filter(F.col("vetor").isNotNull()).select("vetor").mapInArrow(partial, "k int, n bigint, soma array<double>")
+        parts = vectors.select("vetor").mapInArrow(partial, "k int, n bigint, soma array<double>")
         # one row per cluster: element sums over the tasks
         summed = parts.select("k", "n", F.posexplode("soma").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
         new, sizes = np.zeros((k, dim)), np.zeros(k)
         for r in summed.collect():  # k x dim numbers
             new[r["k"], r["i"]], sizes[r["k"]] = r["v"], r["n"]
         for j in np.flatnonzero(sizes == 0):
-            new[j] = x[dice.integer(len(x))]
+            new[j] = pick(vectors, dim, evenly(dice), None)
         new = new / np.maximum(np.sqrt((new * new).sum(axis=1, keepdims=True)), 1e-12)
         moved = float((1 - (new * centroids).sum(axis=1)).max())
         centroids = new
         if moved < 1e-5:
             break
+    vectors.unpersist()
     return centroids
 
 

@@ -137,6 +137,20 @@ def test_kmeans_finds_separated_groups(spark):
         embeddings.kmeans(v, 0)
 
 
+def test_kmeans_draws_its_start_over_all_rows(spark):
+    # the first 20,000 ids are all alike, the other groups come later
+    x = np.zeros((20_060, 3))
+    x[:20_000, 0] = 1
+    x[range(20_000, 20_060), np.arange(60) % 2 + 1] = 1
+    v = spark.range(20_060).select("id", F.expr("array(CAST(id < 20000 AS DOUBLE), CAST(id >= 20000 AND id % 2 = 0 AS DOUBLE), CAST(id >= 20000 AND id % 2 = 1 AS DOUBLE)) AS vetor"))
+    dice = embeddings.Lcg(42)
+    chosen = [dice.integer(len(x))]
+    while len(chosen) < 3:
+        far = (1 - x @ x[chosen].T).min(axis=1) ** 2
+        chosen.append(int(np.searchsorted(np.cumsum(far), dice.real() * far.sum())))
+    assert embeddings.kmeans(v, 3).tolist() == x[chosen].tolist()
+
+
 def test_factorisation_separates_blocks(spark):
     cells = [(i, f"t{(i % 2) * 4 + j}", 0.5) for i in range(20) for j in range(4)]
     df = spark.createDataFrame(cells, "id bigint, termo string, peso double")
