@@ -49,6 +49,53 @@ def test_groups(spark):
     assert markov.group_pairs(markov.similarity_groups(df.limit(0), "id_norma", "embeddings")).count() == 0
 
 
+def test_groups_come_from_the_flow_not_from_condensing(spark):
+    rows, groups = fixture_vectors()
+    df = spark.createDataFrame(rows, "id_norma bigint, embeddings array<float>")
+    levels, graph = markov.similarity_graph(df, "id_norma", "embeddings", dense=3)
+    nodes = [set(r["filhos"]) for r in levels[0].collect()]
+    # condensing alone leaves every group in pieces, the smallest one whole vector by whole vector
+    for g in groups:
+        pieces = [n for n in nodes if n & set(g)]
+        assert len(pieces) >= 3 and all(n <= set(g) for n in pieces)
+    edges = {(r["a"], r["b"]): r["peso"] for r in graph.collect()}
+    assert edges
+    # every pair of nodes that reaches the cosine, and no other
+    last = levels[-1].select("id", "vetor").collect()
+    v, ids = markov._vectors([bytes(r["vetor"]) for r in last]), [r["id"] for r in last]
+    sims = v @ v.T
+    assert set(edges) == {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(ids)) for j in range(i) if sims[i, j] >= 0.6}
+    want = {(min(g), x) for g in groups if len(g) >= 5 for x in g if x != min(g)}
+    assert {tuple(r) for r in markov.group_pairs(markov.similarity_groups(df, "id_norma", "embeddings", dense=3)).collect()} == want
+
+
+def test_flow_joins_a_loose_group_and_keeps_close_groups_apart(spark):
+    rng = np.random.default_rng(8)
+    centre, rows = rng.normal(size=128), []
+    centre /= np.linalg.norm(centre)
+    far = rng.normal(size=(2, 128))
+    far /= np.linalg.norm(far, axis=1, keepdims=True)
+    for n in range(12):  # cosines of 0.6 to 0.75
+        v = rng.normal(size=128)
+        rows.append((n, (centre + v / np.linalg.norm(v) * 0.7).tolist()))
+    rows += [(100 + n, (far[0] + rng.normal(size=128) * 0.02).tolist()) for n in range(6)] + [(200 + n, (far[1] + rng.normal(size=128) * 0.02).tolist()) for n in range(6)]
+    rows.append((300, (far[0] + far[1]).tolist()))  # reaches both groups: single linkage would make them one
+    df = spark.createDataFrame(rows, "id_norma bigint, embeddings array<float>")
+    got = markov.group_pairs(markov.similarity_groups(df, "id_norma", "embeddings")).filter("id_b <> 300").collect()
+    assert {tuple(r) for r in got} == {(0, n) for n in range(1, 12)} | {(100, 100 + n) for n in range(1, 6)} | {(200, 200 + n) for n in range(1, 6)}
+
+
+def test_inflation_sets_the_grain(spark):
+    chain = spark.createDataFrame([(n, n + 1, 0.8) for n in range(15)], "a bigint, b bigint, peso double")
+    coarse, fine = ({r["grupo"] for r in markov.markov(chain, inflation).collect()} for inflation in (1.4, 4.0))
+    assert 1 <= len(coarse) < len(fine)
+
+
+def test_orders_grow_with_the_blocks():
+    assert [markov.passes_for(n) for n in (0, 1, markov.BLOCK)] == [4, 4, 4]
+    assert 20 < markov.passes_for(1000 * markov.BLOCK) < markov.passes_for(100_000 * markov.BLOCK) < 400
+
+
 def test_flow_separates_weakly_linked_cliques(spark):
     edges = [(a, b, 0.9) for g in (range(5), range(5, 10)) for a in g for b in g if a < b] + [(4, 5, 0.6)]
     rows = markov.markov(spark.createDataFrame(edges, "a bigint, b bigint, peso double")).collect()
