@@ -1,25 +1,26 @@
 """Abusive, hateful or sexual content: a convolutional classifier of sentences, trained in numpy.
 
-A word's vector is the mean of hashed embeddings of the word and its letter trigrams. Filters of several widths run
+A word's vector is the mean of hashed embeddings of the word and all its letter trigrams. Filters of several widths run
 over a sentence and the maximum over positions feeds a logistic output. A document scores as its highest sentence
-(multiple-instance learning: a label says that some sentence is abusive, not which). Disguises are undone first:
+(multiple-instance learning: a judgement says that some sentence is abusive, not which). Disguises are undone first:
 invisible letters, accents, digits and signs for letters, spaced or dotted letters, repeated letters, swaps.
 
-The model is fitted on a bounded sample of judged documents (``max_docs``) and the seed sentences; thresholds are
-calibrated by language. Every document is scored whole, sentence by sentence, in Arrow batches.
+The model learns from judged documents only, ``max_docs`` of them at most, in one task of an executor. Every document is
+scored whole, once, in Arrow batches; the thresholds are calibrated by language on all judged documents that the model
+hasn't seen.
 """
 
 from __future__ import annotations
 
-import json
 import math
+import pickle
 import random
 import re
 import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm import abuse_seeds as seeds
-from tabularium.session import stage
+from tabularium.llm.abuse_words import WORDS
+from tabularium.session import small, stage
 
-BUCKETS, DIM, FILTERS, WIDTHS, SUBWORDS, MAX_WORDS = 1 << 14, 24, 24, (1, 2, 3, 5), 12, 40
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 14, 24, 24, (1, 2, 3, 5)
+PAD = max(WIDTHS) - 1
+END = "\x01"
 
-_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
+_HIDDEN = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­​-‏⁠-⁤﻿\x01]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+|\n+|;\s+(?=\S+\s+\S+\s+\S+)")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_·]){2,}[^\W\d_](?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){2,}[^\W_](?![^\W_])")
-_TOKEN = re.compile(r"[\"“”«»]|[^\W_](?:[^\W_]|[@#*_$%!+](?=[^\W_]))*")
+_TOKEN = re.compile(END + r"|[\"“”«»]|[^\W_](?:[^\W_]|[@#*_$%!+](?=[^\W_]))*")
 _REPEAT = re.compile(r"(.)\1+")
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
 
@@ -46,16 +49,12 @@ def _squeezed(word: str) -> str:
 
 
 def _plain(text: str) -> str:
-    text = _INVISIBLE.sub("", text)
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFD", text))
+    return text.lower().replace(END, " ")
 
 
-LEXICON = frozenset(_squeezed(_plain(w)) for w in [*seeds.INSULTS_PT, *seeds.INSULTS_ES, *seeds.INSULTS_EN, *seeds.VULGAR, *seeds.WOMEN_PT])
-_SHAPES: dict[tuple[int, str], list[str]] = {}
-for _w in LEXICON:
-    _SHAPES.setdefault((len(_w), _w[0]), []).append(_w)
+LEXICON = frozenset(_squeezed(_plain(w)) for words in WORDS.values() for w in words)
 _SWAPS = {(len(w), "".join(sorted(w)), w[0]): w for w in sorted(LEXICON) if len(w) >= 5}
 
 
@@ -72,8 +71,8 @@ def repair(word: str) -> str:
             return read
         pattern = re.compile("".join(re.escape(c) if c.isalpha() else "." for c in _squeezed(word)))
         whole = re.compile("".join(re.escape(c) if c.isalpha() else "." for c in word))
-        for w in LEXICON:
-            if (pattern.fullmatch(w) or whole.fullmatch(w)) or (w.endswith("s") is False and pattern.fullmatch(w + "s")):
+        for w in sorted(LEXICON):
+            if pattern.fullmatch(w) or whole.fullmatch(w) or not w.endswith("s") and pattern.fullmatch(w + "s"):
                 return w
         word = re.sub(r"[^a-z]", "", word.translate(_LEET)) or "0"
     short = _squeezed(word)
@@ -97,35 +96,50 @@ def _joined(letters: str) -> str:
     return word
 
 
-def sentences(text: str | None) -> list[tuple[str, ...]]:
-    """The sentences of a text as repaired words; very long ones in overlapping pieces, so that no word is lost."""
+def marks(text: str | None) -> list[str]:
+    """The raw tokens of a text in order, with END between its sentences; whole texts, however long."""
     if not text:
         return []
-    out = []
-    for raw in _SENTENCE.split(_plain(text)):
-        raw = _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group(0)), raw)
-        raw = _SPACED.sub(lambda m: _joined(m.group(0)), raw)
-        words = [repair(w) for w in _TOKEN.findall(raw)]
-        for a in range(0, max(len(words), 1), MAX_WORDS - 8):
-            piece = tuple(words[a : a + MAX_WORDS])
-            if piece and (a == 0 or len(piece) > 8):
-                out.append(piece)
-    return out
+    plain = _SENTENCE.sub(f" {END} ", _plain(text))
+    plain = _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group(0)), plain)
+    plain = _SPACED.sub(lambda m: _joined(m.group(0)), plain)
+    return _TOKEN.findall(plain)
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The sentences of a text as repaired words; null, empty and wordless texts give none."""
+    out: list[list[str]] = [[]]
+    for m in marks(text):
+        if m == END:
+            out.append([])
+        else:
+            out[-1].append(repair(m))
+    return [s for s in out if s]
 
 
 @lru_cache(maxsize=200_000)
 def subwords(word: str) -> tuple[int, ...]:
-    """Buckets of a word and its letter trigrams."""
+    """Buckets of a word and all its letter trigrams."""
     marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + 3] for i in range(max(len(marked) - 2, 0))][: SUBWORDS - 1]
-    return tuple(zlib.crc32(g.encode()) % BUCKETS for g in grams)
+    return tuple(zlib.crc32(g.encode()) % BUCKETS for g in [marked] + [marked[i : i + 3] for i in range(len(marked) - 2)])
+
+
+def flat(sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers with PAD times -1 after each sentence, places of words, first word of each sentence) of non-empty sentences."""
+    lengths = np.array([len(s) for s in sentences])
+    starts = np.cumsum(lengths + PAD) - lengths - PAD
+    ids = np.full(int(lengths.sum()) + PAD * len(sentences), -1)
+    firsts = np.cumsum(lengths) - lengths
+    places = np.arange(int(lengths.sum())) + np.repeat(starts - firsts, lengths)
+    ids[places] = np.concatenate(sentences)
+    return ids, places, firsts
 
 
 @dataclass
 class Model:
-    """embedding: buckets x DIM; filters by width; out: weights of the pooled filters, and the bias; thresholds by language.
+    """embedding: buckets x DIM; filters by width; out: weights of the pooled filters, and the bias.
 
-    Words outside ``known`` (seen in fewer than three training documents and in no seed, mostly names) count a third.
+    Words outside ``known`` (seen in fewer than three training documents, mostly names) count a third.
     """
 
     embedding: np.ndarray
@@ -134,208 +148,186 @@ class Model:
     out: np.ndarray
     bias: float
     known: frozenset = frozenset()
-    thresholds: dict[str, float] = field(default_factory=dict)
-    default: float = 0.5
-
-    def words(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors, padded buckets) of words; the row -1 of the buckets is padding."""
-        ids = np.full((len(vocabulary), SUBWORDS), -1)
-        for n, w in enumerate(vocabulary):
-            s = subwords(w)
-            ids[n, : len(s)] = s
-        rows = self.embedding[ids] * (ids >= 0)[:, :, None]
-        scale = self.scale(vocabulary, ids)
-        return rows.sum(axis=1) * scale, ids
-
-    def scale(self, vocabulary: list[str], ids: np.ndarray) -> np.ndarray:
-        return np.array([1.0 if w in self.known else 0.3 for w in vocabulary])[:, None] / np.sqrt((ids >= 0).sum(axis=1, keepdims=True))
-
-    def forward(self, columns: np.ndarray, vectors: np.ndarray):
-        """Logits of padded sentences (columns of vectors; the last vector is zero), with what backward needs."""
-        x = vectors[columns]
-        pooled, where, windows = [], [], []
+
+    def words(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors with a zero one at the end, flat buckets, first bucket, scale of each word)."""
+        lists = [subwords(w) for w in vocabulary]
+        sizes = np.array([len(x) for x in lists])
+        buckets = np.fromiter((b for x in lists for b in x), np.int64, int(sizes.sum()))
+        firsts = np.cumsum(sizes) - sizes
+        scale = (np.array([1.0 if w in self.known else 0.3 for w in vocabulary]) / np.sqrt(sizes)).astype(np.float32)[:, None]
+        vectors = np.add.reduceat(self.embedding[buckets], firsts) * scale
+        return np.vstack([vectors, np.zeros((1, DIM), np.float32)]), buckets, firsts, scale
+
+    def forward(self, vectors: np.ndarray, ids: np.ndarray, places: np.ndarray, firsts: np.ndarray):
+        """(logits of the sentences of ``flat``, pooled features, the windows' activations)."""
+        x = vectors[ids]
+        pooled, acts = [], []
         for f, b, w in zip(self.filters, self.biases, WIDTHS):
-            n = columns.shape[1] - w + 1
-            win = np.concatenate([x[:, i : i + n] for i in range(w)], axis=2)
-            act = win @ f + b
-            top = act.argmax(axis=1)
-            pooled.append(np.maximum(np.take_along_axis(act, top[:, None], axis=1)[:, 0], 0))
-            where.append(top)
-            windows.append(win)
+            act = x[places] @ f[:DIM]
+            for i in range(1, w):
+                act += x[places + i] @ f[i * DIM : (i + 1) * DIM]
+            act += b
+            pooled.append(np.maximum(np.maximum.reduceat(act, firsts), 0))
+            acts.append(act)
         features = np.concatenate(pooled, axis=1)
-        return features @ self.out + self.bias, features, where, windows
-
-    def score(self, items: list[tuple[str, ...]]) -> np.ndarray:
-        """Probability of abuse of each sentence."""
-        out = np.zeros(len(items))
-        if not items:
-            return out
-        vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for s in items for w in s))}
-        vectors = np.vstack([self.words(list(vocabulary))[0], np.zeros((1, DIM))]).astype(np.float32)
-        order = sorted(range(len(items)), key=lambda i: len(items[i]))
-        for a in range(0, len(order), 512):
-            part = order[a : a + 512]
-            columns = _columns([items[i] for i in part], vocabulary)
-            logits = self.forward(columns, vectors)[0]
-            out[part] = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-        return out
+        return features @ self.out + np.float32(self.bias), features, acts
 
 
-def _columns(items: list[tuple[str, ...]], vocabulary: dict[str, int]) -> np.ndarray:
-    width = max(max(WIDTHS), max(len(s) for s in items))
-    columns = np.full((len(items), width), len(vocabulary))
-    for n, s in enumerate(items):
-        columns[n, : len(s)] = [vocabulary[w] for w in s]
-    return columns
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def seed_sentences(rng: random.Random, repeats: int = 6) -> list[tuple[tuple[str, ...], int]]:
-    """Sentences made of the seed patterns, with their label."""
-    fill = {
-        "pt": (seeds.ABUSE_PT, seeds.INSULTS_PT),
-        "es": (seeds.ABUSE_ES, seeds.INSULTS_ES),
-        "en": (seeds.ABUSE_EN, seeds.INSULTS_EN),
-    }
+def _evidence(bags: list[tuple[list[np.ndarray], int]], size: int) -> list[np.ndarray]:
+    """For each sentence of each document: how far its words and word pairs speak for abuse, by their share of the other abusive documents.
 
-    def made(pattern: str, insults: list[str]) -> str:
-        while "{i}" in pattern:
-            pattern = pattern.replace("{i}", rng.choice(insults), 1)
-        return pattern.replace("{p}", rng.choice(seeds.PEOPLE_PT)).replace("{w}", rng.choice(seeds.WOMEN_PT)).replace("{g}", rng.choice(seeds.GROUPS_PT))
+    It tells which sentence of an abusive document may be meant before anything is learned, and which judgements no
+    other document bears out.
+    """
+    grams = [[set(np.concatenate([s, s[:-1] * size + s[1:] + size]).tolist()) for s in own] for own, _ in bags]
+    count: tuple[Counter, Counter] = (Counter(), Counter())
+    for own, (_, y) in zip(grams, bags):
+        count[y].update(set().union(*own))
+    total = [max(sum(y == k for _, y in bags), 1) for k in (0, 1)]
 
-    out = []
-    for patterns, insults in fill.values():
-        for p in patterns:
-            out += [(s, 1) for _ in range(repeats) for s in sentences(made(p, insults))[:1]]
-    for p in seeds.HARMLESS:
-        out += [(s, 0) for _ in range(repeats) for s in sentences(made(p, rng.choice([seeds.INSULTS_PT, seeds.INSULTS_PT, seeds.INSULTS_ES, seeds.INSULTS_EN])))[:1]]
-    return out
+    def odds(g: int, y: int) -> float:
+        return math.log((count[1][g] - y + 0.1) / (total[1] + 1)) - math.log((count[0][g] - (1 - y) + 0.5) / (total[0] + 1))
 
+    return [np.array([sum(sorted((odds(g, y) for g in s), reverse=True)[:4]) for s in own]) for own, (_, y) in zip(grams, bags)]
 
-def train(docs: list[tuple[list[tuple[str, ...]], int]], others: list[list[tuple[str, ...]]] = (), epochs: int = 12, rate: float = 0.01, seed: int = 5) -> Model:
-    """A model fitted on documents (sentences, label) and the seeds, by Adam on the logistic loss of the highest sentence.
 
-    ``others`` are documents without a judgement; they count as clean, but little where the model finds them abusive.
+def train(docs: list[tuple[list[list[str]], int]], epochs: int = 10, rate: float = 0.01, seed: int = 5) -> Model:
+    """A model fitted on documents (sentences, label) by Adam on the logistic loss of the highest sentence.
 
-    Documents without sentences are skipped; without any documents the seeds alone are learned.
+    Documents without sentences are skipped; without any abusive document every text scores low.
     """
     rng, dice = np.random.default_rng(seed), random.Random(seed)
     model = Model(
-        rng.normal(0, 0.3, (BUCKETS + 1, DIM)).astype(np.float32),
+        rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32),
         [rng.normal(0, 1 / math.sqrt(w * DIM), (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32),
-        -1.0,
+        -3.0,
     )
-    own = [([s], y, 0.5) for s, y in seed_sentences(dice)]
-    bags = own + [(s, y, 1.0) for s, y in docs if s] + [(s, 0, 0.7) for s in others if s]
-    seen = Counter(w for b in bags[len(own) :] for w in {w for s in b[0] for w in s})
-    model.known = LEXICON | {w for s, _, _ in own for w in s[0]} | {w for w, n in seen.items() if n >= 3}
-    positive = max(sum(y for _, y, _ in bags[len(own) :]), 1)
-    balance = min(2.0, max(1.0, (len(bags) - len(own) - positive) / positive / 4)) if docs else 1.0
+    docs = [(s, y) for s, y in docs if s]
+    if not any(y for _, y in docs):
+        return model
+    seen = Counter(w for s, _ in docs for w in {w for x in s for w in x})
+    model.known = frozenset(w for w, n in seen.items() if n >= 3)
+    names = {w: n for n, w in enumerate(seen)}
+    order = list(names)
+    bags = [([np.array([names[w] for w in x]) for x in s], y) for s, y in docs]
+    evidence = _evidence(bags, len(names))
+    positive = sum(y for _, y in bags)
+    balance = min(2.0, max(1.0, (len(bags) - positive) / positive / 4))
+    trust = np.array([sigmoid(e.max() - 4) if y else 1.0 for e, (_, y) in zip(evidence, bags)])
+    trust /= max(trust[d] for d, (_, y) in enumerate(bags) if y) * np.array([y for _, y in bags]) + np.array([1 - y for _, y in bags])
     state: dict[int, list[np.ndarray]] = {}
     step = 0
 
     def adam(key: int, value: np.ndarray, grad: np.ndarray) -> None:
         m = state.setdefault(key, [np.zeros_like(value), np.zeros_like(value)])
-        m[0] += 0.1 * (grad - m[0])
-        m[1] += 0.01 * (grad * grad - m[1])
-        value -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+        m[0] += np.float32(0.1) * (grad - m[0])
+        m[1] += np.float32(0.01) * (grad * grad - m[1])
+        value -= np.float32(rate) * (m[0] / np.float32(1 - 0.9**step)) / (np.sqrt(m[1] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
 
+    turn = list(range(len(bags)))
     for epoch in range(epochs):
-        dice.shuffle(bags)
-        for a in range(0, len(bags), 96):
+        dice.shuffle(turn)
+        for a in range(0, len(turn), 64):
             step += 1
+            own, y, weight = [], [], []
+            part = turn[a : a + 64]
             # of a clean document some sentences an epoch, others the next time
-            batch = [(b[0] if b[1] or len(b[0]) <= 6 else dice.sample(b[0], 6), b[1], b[2]) for b in bags[a : a + 96]]
-            flat = [s for b in batch for s in b[0]]
-            owner = np.repeat(np.arange(len(batch)), [len(b[0]) for b in batch])
-            vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for s in flat for w in s))}
-            vectors, ids = model.words(list(vocabulary))
-            vectors = np.vstack([vectors, np.zeros((1, DIM))]).astype(np.float32)
-            columns = _columns(flat, vocabulary)
-            logits, lengths = np.zeros(len(flat)), np.array([len(s) for s in flat])
-            order = np.argsort(lengths, kind="stable")
-            for part in np.array_split(order, -(-len(order) // 256)):
-                logits[part] = model.forward(columns[part, : max(max(WIDTHS), lengths[part[-1]])], vectors)[0]
-            # the highest sentence of each document; of clean ones the three highest
-            chosen, y, weight = [], [], []
-            for n, (_, label, w) in enumerate(batch):
-                at = np.flatnonzero(owner == n)
-                best = at[np.argsort(-logits[at])[: 1 if label else 3]]
-                doubt = logits[best[0]] * (1 if label else -1)
-                if w == 1.0 and label:  # judgements count as far as seeds, clean documents and each other bear them out
-                    w = 0.0 if epoch < 2 else 1.0 if doubt > 0 else 0.3 if epoch < 7 else 0.05
-                elif w != 0.5 and epoch >= (4 if w == 1.0 else 1) and doubt < (-2.2 if w == 1.0 else 0.0):
-                    w = 0.1 if w == 1.0 else 0.02
-                chosen += best.tolist()
+            taken = [list(range(len(bags[d][0]))) if bags[d][1] or len(bags[d][0]) <= 6 else dice.sample(range(len(bags[d][0])), 6) for d in part]
+            every = [bags[d][0][i] for d, t in zip(part, taken) for i in t]
+            used, back = np.unique(np.concatenate(every), return_inverse=True)
+            vectors, buckets, firsts, scale = model.words([order[i] for i in used])
+            ends = np.cumsum([len(s) for s in every])
+            local = np.split(back, ends[:-1])
+            logits = model.forward(vectors, *flat(local))[0]
+            at = 0
+            for d, t in zip(part, taken):
+                label, mine = bags[d][1], logits[at : at + len(t)]
+                # the highest sentence of an abusive document, the three highest of a clean one
+                best = np.argsort(-(mine if not label or epoch >= 2 else evidence[d]), kind="stable")[: 1 if label else 3]
+                w = float(trust[d])
+                # judgements count as far as the others bear them out
+                if label and epoch >= 3 and mine[best[0]] < 0:
+                    w *= 0.3 if epoch < 6 else 0.05
+                elif not label and epoch >= 4 and mine[best[0]] > 2.2:
+                    w = 0.1
+                own += [local[at + i] for i in best]
                 y += [label] * len(best)
-                weight += [w * (balance if label and w != 0.5 else 1.0) / (1 if label else 1.5)] * len(best)
-            columns, y, weight = columns[chosen], np.array(y, float), np.array(weight)
-            logits, features, where, windows = model.forward(columns, vectors)
-            soft = 0.97 * y + 0.01
-            error = ((1 / (1 + np.exp(-logits)) - soft) * weight / len(batch)).astype(np.float32)
+                weight += [w * (balance if label else 1 / 1.5)] * len(best)
+                at += len(t)
+            ids, places, begins = flat(own)
+            logits, features, acts = model.forward(vectors, ids, places, begins)
+            error = ((sigmoid(logits) - (0.97 * np.array(y) + 0.01)) * np.array(weight) / len(part)).astype(np.float32)
             grad_features = error[:, None] * model.out * (features > 0)
             grad_out, grad_bias = features.T @ error, float(error.sum())
-            grad_x = np.zeros((*columns.shape, DIM), np.float32)
+            x, grad_x = vectors[ids], np.zeros((len(ids), DIM), np.float32)
+            lasts = np.append(begins[1:], len(places))
             for n, (f, w) in enumerate(zip(model.filters, WIDTHS)):
                 g = grad_features[:, n * FILTERS : (n + 1) * FILTERS]
-                picked = np.take_along_axis(windows[n], where[n][:, :, None], axis=1)  # sentences x filters x (w * DIM)
-                grad_f = np.einsum("sf,sfd->df", g, picked)
-                back = g[:, :, None] * f.T[None]
+                top = np.stack([acts[n][b:e].argmax(axis=0) + b for b, e in zip(begins, lasts)])  # sentences x filters
+                where = places[top]
+                grad_f = np.empty_like(f)
                 for i in range(w):
-                    np.add.at(grad_x, (np.arange(len(columns))[:, None], where[n] + i), back[:, :, i * DIM : (i + 1) * DIM])
-                adam(10 + n, model.filters[n], grad_f + 1e-4 * f)
+                    grad_f[i * DIM : (i + 1) * DIM] = np.einsum("sf,sfd->df", g, x[where + i])
+                    for c in range(FILTERS):  # the places of one filter differ from sentence to sentence
+                        grad_x[where[:, c] + i] += g[:, c, None] * f[i * DIM : (i + 1) * DIM, c]
+                adam(10 + n, model.filters[n], grad_f + np.float32(1e-4) * f)
                 adam(20 + n, model.biases[n], g.sum(axis=0))
-            adam(1, model.out, grad_out + 1e-4 * model.out)
+            adam(1, model.out, grad_out + np.float32(1e-4) * model.out)
             model.bias -= rate * grad_bias
-            grad_words = np.zeros((len(vocabulary) + 1, DIM), np.float32)
-            np.add.at(grad_words, columns, grad_x)
-            grad_words = grad_words[:-1] * model.scale(list(vocabulary), ids)
+            grad_words = np.zeros((len(used) + 1, DIM), np.float32)
+            np.add.at(grad_words, ids, grad_x)
+            grad_words = grad_words[:-1] * scale
             grad_e = np.zeros_like(model.embedding)
-            np.add.at(grad_e, ids, np.repeat(grad_words[:, None], SUBWORDS, axis=1))
-            grad_e[-1] = 0
+            np.add.at(grad_e, buckets, np.repeat(grad_words, np.diff(np.append(firsts, len(buckets))), axis=0))
             adam(0, model.embedding, grad_e)
     return model
 
 
-GRID = tuple(i / 100 for i in range(20, 95, 5))
-
-
-def calibrate(model: Model, counts: list[tuple[str | None, int, int, list[int], float]], least: int = 40) -> None:
-    """Set the thresholds: the best F1 over all counted documents, and a language's own where it has ``least`` of them
-    and five abusive ones. counts: (lang, label, documents, how many reach each threshold of GRID, weight of each)."""
-
-    def best(rows: list) -> float:
-        true = sum(w * n for _, y, n, _, w in rows if y)
-        f1 = []
-        for t in range(len(GRID)):
-            hit, said = sum(w * over[t] for _, y, _, over, w in rows if y), sum(w * over[t] for _, _, _, over, w in rows)
-            f1.append(2 * hit / max(said + true, 1))
-        near = [t for t, f in zip(GRID, f1) if f >= max(f1) - 0.005]
-        return min(near, key=lambda t: abs(t - 0.5))
-
-    if sum(x[2] for x in counts if x[1]) >= 5:
-        model.default = best(counts)
-    for lang in {x[0] for x in counts if x[0]}:
-        own = [x for x in counts if x[0] == lang]
-        if sum(x[2] for x in own) >= least and sum(x[2] for x in own if x[1]) >= 5:
-            model.thresholds[lang] = best(own)
-
-
-def judged_counts(documents: DataFrame, labels: DataFrame, model: Model) -> list[tuple[str | None, int, int, list[int], float]]:
-    """The counts for ``calibrate`` of all documents with a label in labels (doc_id, rotulo): a row per language and label is gathered."""
-    # language and label travel in the place of the source
-    scored = score_documents(documents.select("doc_id", "text", "lang").join(labels, "doc_id").select("doc_id", F.to_json(F.struct("lang", "rotulo"), {"ignoreNullFields": "false"}).alias("source"), "text", "lang"), model)
-    over = [F.count_if(F.col("nota") >= t).alias(f"t{n}") for n, t in enumerate(GRID)]
-    rows = scored.groupBy("source").agg(F.count("*").alias("n"), *over).collect()
-    keys = [json.loads(r["source"]) for r in rows]
-    return [(k["lang"], k["rotulo"], r["n"], [r[f"t{n}"] for n in range(len(GRID))], 1.0) for k, r in zip(keys, rows)]
-
+class Scorer:
+    """Scores documents with a model; word vectors are kept between batches, up to ``most`` words."""
+
+    def __init__(self, model: Model, most: int = 200_000) -> None:
+        self.model, self.most = model, most
+        self.numbers: dict[str, int] = {}
+        self.vectors = np.zeros((0, DIM), np.float32)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """The probability of the highest sentence of each text; 0 for texts without words."""
+        tokens = [marks(t) for t in texts]
+        if len(self.numbers) > self.most:
+            self.numbers, self.vectors = {}, np.zeros((0, DIM), np.float32)
+        new = [m for m in {m for t in tokens for m in t} if m not in self.numbers and m != END]
+        if new:
+            self.vectors = np.vstack([self.vectors, self.model.words([repair(m) for m in new])[0][:-1]])
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        numbers, out = {**self.numbers, END: -1}, np.zeros(len(texts))
+        vectors = np.vstack([self.vectors, np.zeros((1, DIM), np.float32)])
+        owners, items, size = [], [], 0
+        for n, t in enumerate(tokens):
+            ids = np.array([numbers[m] for m in t], np.int64)
+            cuts = np.flatnonzero(ids < 0)
+            for s in np.split(ids, cuts):
+                s = s[1:] if len(s) and s[0] < 0 else s
+                if len(s):
+                    owners.append(n)
+                    items.append(s)
+                    size += len(s)
+            if size > 50_000 or n + 1 == len(tokens):
+                if items:
+                    np.maximum.at(out, owners, sigmoid(self.model.forward(vectors, *flat(items))[0]).astype(np.float64))
+                owners, items, size = [], [], 0
+        return out
 
-def judged(documents: DataFrame, reviews: DataFrame, max_docs: int, max_others: int) -> tuple[list, DataFrame | None]:
-    """(rows of (doc_id, text, lang, rotulo), the labels (doc_id, rotulo) outside the sample, or null if there are none).
 
-    rotulo is null for the max_others documents without a judgement that come first in an order by hash.
+def judged(reviews: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(staged labels (doc_id, rotulo), the sample of them that is learned from, with held: the fifth that isn't).
 
     A document's label is the majority of its judgements; ties and nulls are left out. The sample holds at most
     max_docs documents, half of them abusive if there are as many, in an order by hash.
@@ -347,61 +339,84 @@ def judged(documents: DataFrame, reviews: DataFrame, max_docs: int, max_others:
     clean = min(totals.get(0, 0), max_docs - bad)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = labels.filter("rotulo = 1").orderBy(*order).limit(bad).unionByName(labels.filter("rotulo = 0").orderBy(*order).limit(clean))
-    chosen = documents.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id")
-    rest = documents.select("doc_id").filter(F.col("text").isNotNull()).join(labels, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_others)
-    rows = chosen.collect() + documents.select("doc_id", "text", "lang").join(F.broadcast(rest), "doc_id").withColumn("rotulo", F.lit(None).cast("int")).collect()
-    outside = labels.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti") if sum(totals.values()) > bad + clean else None
-    return sorted(rows, key=lambda r: r["doc_id"]), outside
+    return labels, stage(sample.withColumn("fora", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0), "p10-amostra")
 
 
-def fit(documents: DataFrame, reviews: DataFrame, max_docs: int = 3000, max_others: int = 1000) -> Model:
-    """The classifier, fitted on at most ``max_docs`` judged documents and ``max_others`` others.
+def fit(documents: DataFrame, reviews: DataFrame, max_docs: int = 6000) -> tuple[Model, DataFrame]:
+    """(the classifier, fitted on four fifths of at most ``max_docs`` judged documents; the labels of all others).
 
-    Its thresholds come from all judged documents outside this sample and from a held-out fifth of it, which stands for the whole sample.
+    The texts are split into words in parallel; one task of an executor learns from them. Only the model (about 2 MB)
+    comes back. Without judged documents nothing is abusive.
     """
-    rows, outside = judged(documents, reviews, max_docs, max_others)
-    others = [sentences(r["text"]) for r in rows if r["rotulo"] is None]
-    rows = [r for r in rows if r["rotulo"] is not None]
-    docs = [(sentences(r["text"]), r["rotulo"], r["lang"]) for r in rows]
-    counts = []
-    if len(docs) >= 50:
-        held = [i for i in range(len(docs)) if zlib.crc32(str(rows[i]["doc_id"]).encode()) % 5 == 0]
-        rest = sorted(set(range(len(docs))) - set(held))
-        first = train([(docs[i][0], docs[i][1]) for i in rest], others[: len(others) // 2], epochs=8)
-        for i in held:
-            s = first.score(docs[i][0])
-            top = float(s.max()) if len(s) else 0.0
-            counts.append((docs[i][2], docs[i][1], 1, [int(top >= t) for t in GRID], len(docs) / len(held)))
-        if outside is not None:
-            counts += judged_counts(documents, outside, first)
-    model = train([(s, y) for s, y, _ in docs], others)
-    calibrate(model, counts)
-    return model
+    labels, sample = judged(reviews, max_docs)
+    learned = F.broadcast(sample.filter("not fora").select("doc_id", "rotulo"))  # at most max_docs rows
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = pa.array([sentences(t) for t in batch.column(2).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), items], names=["doc_id", "rotulo", "frases"])
+
+    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(learned, "doc_id").select("doc_id", "rotulo", "text")
+    ready = stage(texts.mapInArrow(split, "doc_id bigint, rotulo int, frases array<array<string>>"), "p10-frases")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((d, y, f) for b in batches for d, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(f, y) for _, y, f in rows]))], pa.binary())], names=["modelo"])
+
+    model = pickle.loads(ready.coalesce(1).mapInArrow(learn, "modelo binary").first()["modelo"])
+    return model, labels.join(learned.select("doc_id"), "doc_id", "left_anti")
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, source, nota, ofensivo) for every document: nota is the score of its highest sentence, 0 for null and empty texts."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("nota", pa.float64()), ("ofensivo", pa.bool_())])
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed size: 1.6 MB
+    """(doc_id, source, lang, nota) for every document: nota is the score of its highest sentence, 0 for null and empty texts."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("nota", pa.float64())])
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed size: 1.6 MB and the known words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            own = [sentences(t) for t in batch.column(2).to_pylist()]
-            new = [s for s in dict.fromkeys(s for d in own for s in d) if s not in known]
-            if len(known) + len(new) > 400_000:
-                known.clear()
-                new = list(dict.fromkeys(s for d in own for s in d))
-            known.update(zip(new, m.score(new).tolist()))
-            notes = [max((known[s] for s in d), default=0.0) for d in own]
-            limits = [m.thresholds.get(lang, m.default) for lang in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(notes, pa.float64()), pa.array([a >= b for a, b in zip(notes, limits)], pa.bool_())], schema=arrow)
+            notes = scorer.score(batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array(notes, pa.float64())], schema=arrow)
+
+    return documents.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id bigint, source string, lang string, nota double")
+
+
+GRID = tuple(i / 100 for i in range(10, 95, 5))
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, prior: int = 200) -> tuple[DataFrame, float]:
+    """((lang, limite) of every judged language, the limit of all languages together), by the best F1 on labels (doc_id, rotulo).
+
+    A language's own counts are joined with those of all languages, which weigh as ``prior`` documents: much evidence of
+    its own moves a language to its own limit, little leaves it near the common one. Among almost equal limits the one
+    nearest to a half counts; without judgements that is 0.5.
+    """
+    each = scored.select("doc_id", "lang", "nota").join(labels, "doc_id").select("lang", "rotulo", "nota", F.explode(F.array(*map(F.lit, GRID))).alias("t"))
+    over = (F.col("nota") >= F.col("t")).cast("int")
+    own = each.groupBy("lang", "t").agg(F.sum(over * F.col("rotulo")).alias("certos"), F.sum(over).alias("ditos"), F.sum("rotulo").alias("reais"), F.count("*").alias("n"))
+    own = stage(own, "p10-contagens")
+    every = own.groupBy("t").agg(*[F.sum(c).alias("g_" + c) for c in ("certos", "ditos", "reais", "n")])  # one row per step of the grid
+
+    def best(f1, keys: list[str], df: DataFrame) -> DataFrame:
+        rank = F.struct(F.round(f1 / 0.005).alias("f"), (-F.abs(F.col("t") - 0.5)).alias("d"), (-F.col("t")).alias("t"))
+        return df.withColumn("r", rank).groupBy(*keys).agg(F.max_by("t", "r").alias("limite"))
+
+    pooled = best(2 * F.col("g_certos") / F.greatest(F.col("g_ditos") + F.col("g_reais"), F.lit(1)), [], every).first()["limite"]
+    share = F.lit(float(prior)) / F.col("g_n")
+    mixed = own.filter("lang IS NOT NULL").join(F.broadcast(every), "t")
+    part = lambda c: F.col(c) + share * F.col("g_" + c)
+    return best(2 * part("certos") / F.greatest(part("ditos") + part("reais"), F.lit(1e-9)), ["lang"], mixed), 0.5 if pooled is None else pooled
+
 
-    return documents.select("doc_id", "source", "text", "lang").mapInArrow(run, "doc_id bigint, source string, nota double, ofensivo boolean")
+def flag(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, nota, ofensivo) of staged scored documents: whether each reaches the limit of its language."""
+    own, common = thresholds(scored, labels)
+    limits = small(stage(own, "p10-limites"))
+    return scored.join(limits, "lang", "left").select("doc_id", "source", "nota", (F.col("nota") >= F.coalesce("limite", F.lit(common))).alias("ofensivo"))
 
 
-def source_rates(scored: DataFrame) -> DataFrame:
+def source_rates(flagged: DataFrame) -> DataFrame:
     """(source, documentos, ofensivos, taxa, nota_media) per source, the null one included."""
-    return scored.groupBy("source").agg(
+    return flagged.groupBy("source").agg(
         F.count("*").alias("documentos"), F.count_if("ofensivo").alias("ofensivos"), F.round(F.avg(F.col("ofensivo").cast("int")), 6).alias("taxa"), F.round(F.avg("nota"), 6).alias("nota_media")
     )

@@ -144,7 +144,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_notas(spark: SparkSession, d: str) -> DataFrame:
     """The score of each document and whether it reaches the threshold of its language."""
     documents = table(spark, d, "documents")
-    return abuse.score_documents(documents, abuse.fit(documents, table(spark, d, "rotulos_revisao")))
+    model, labels = abuse.fit(documents, table(spark, d, "rotulos_revisao"))
+    return abuse.flag(stage(abuse.score_documents(documents, model), "p10-notas"), labels)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -94,43 +94,89 @@ def test_mixing(spark):
 
 
 def test_disguises():
-    s = abuse.sentences("Seu 1d10t4! Que b.u.r.r.o, l*xo e c a n a l h a; im­becil, nojeeento, cretnio. Ok")
+    s = abuse.sentences("Seu 1d10t4! Que b.u.r.r.o, l*xo e c a n a l h a; im\u00adbecil, nojeeento, cretnio. Ok")
     words = [w for x in s for w in x]
     assert {"idiota", "buro", "lixo", "canalha", "imbecil", "nojento", "cretino"} <= set(words)
     assert abuse.sentences(None) == [] and abuse.sentences("") == [] and abuse.sentences(" . ") == []
     assert sum(map(len, abuse.sentences("palavra " * 1000))) >= 1000
+    assert len(abuse.subwords("anticonstitucionalissimamente")) == 30  # the word and each of its 29 trigrams
 
 
-def test_classifier_on_held_out_seeds():
-    made = abuse.seed_sentences(random.Random(99), repeats=1)
-    model = abuse.train([], epochs=8)
-    scores = model.score([s for s, _ in made])
-    right = sum((p >= 0.5) == bool(y) for p, (_, y) in zip(scores, made))
-    assert right / len(made) > 0.9
+def judged_documents(seed, n=600):
+    """(doc_id, text, abusive): clean notices, every fifth with a rude sentence among them; others quote the same words."""
+    rng = random.Random(seed)
+    rude = ["seu {w}, desapareça daqui", "que {w} esse gestor", "todos os daquele lado são {w}", "vou acabar com você, {w}"]
+    mild = ["a palavra \"{w}\" saiu do registro", "o relatório {n} trata de receitas", "a sessão começa às {n} horas", "o edital {n} foi publicado", "a obra do bairro termina em {n} dias"]
+    words = "zurrapa mequetrefe biltre sacripanta bucéfalo".split()
+    made = lambda p: p.format(w=rng.choice(words), n=rng.randint(1, 99))
+    out = []
+    for i in range(n):
+        own = [made(rng.choice(mild)) for _ in range(5)] + ([made(rng.choice(rude))] if i % 5 == 0 else [])
+        rng.shuffle(own)
+        out.append((i, ". ".join(own) + ".", int(i % 5 == 0)))
+    return out
 
 
-def test_scoring_of_documents(spark):
-    model = abuse.train([], epochs=6)
-    df = spark.createDataFrame([(1, "Bom dia. Seu idiota de merda, some daqui.", "pt", "x"), (2, None, None, None), (3, "", "pt", "x"), (1, "Bom dia. Seu idiota de merda, some daqui.", "pt", "x")], "doc_id bigint, text string, lang string, source string")
-    rows = abuse.score_documents(df, model).collect()
-    assert [r["ofensivo"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [True, True, False, False]
-    rates = {r["source"]: r["taxa"] for r in abuse.source_rates(abuse.score_documents(df, model)).collect()}
+@pytest.fixture(scope="module")
+def taught():
+    return abuse.train([(abuse.sentences(t), y) for _, t, y in judged_documents(1)])
+
+
+def test_classifier_on_held_out_documents(taught):
+    rows = judged_documents(2, 300)
+    said = abuse.Scorer(taught).score([t for _, t, _ in rows]) >= 0.5
+    assert sum(s == bool(y) for s, (_, _, y) in zip(said, rows)) / len(rows) > 0.95
+
+
+def test_sentence_scores_do_not_depend_on_what_stands_beside(taught):
+    scorer = abuse.Scorer(taught, most=3)
+    texts = [t for _, t, _ in judged_documents(3, 40)]
+    alone = [scorer.score([t])[0] for t in texts]
+    assert alone == pytest.approx(scorer.score(texts).tolist(), abs=1e-5)
+    assert scorer.score([None, "", " ... "]).tolist() == [0, 0, 0] and len(scorer.score([])) == 0
+    assert scorer.score(["o edital foi publicado. " * 20000 + texts[0]])[0] == pytest.approx(max(alone[0], scorer.score(["o edital foi publicado."])[0]), abs=1e-5)
+
+
+def test_no_judgement_means_no_abuse(spark):
+    df = spark.createDataFrame([(1, "texto", "pt", "x"), (2, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    model, labels = abuse.fit(df, spark.createDataFrame([], "doc_id bigint, ofensivo int"))
+    rows = abuse.flag(abuse.score_documents(df, model), labels).collect()
+    assert sorted((r["doc_id"], r["ofensivo"]) for r in rows) == [(1, False), (2, False)]
+
+
+def test_scoring_of_documents(spark, taught):
+    df = spark.createDataFrame([(1, "A sessão começa. Seu biltre, desapareça daqui.", "pt", "x"), (2, None, None, None), (3, "", "pt", "x"), (1, "A sessão começa. Seu biltre, desapareça daqui.", "pt", "x")], "doc_id bigint, text string, lang string, source string")
+    flagged = abuse.flag(abuse.score_documents(df, taught), spark.createDataFrame([], "doc_id bigint, rotulo int"))
+    assert [r["ofensivo"] for r in sorted(flagged.collect(), key=lambda r: r["doc_id"])] == [True, True, False, False]
+    rates = {r["source"]: r["taxa"] for r in abuse.source_rates(flagged).collect()}
     assert rates[None] == 0 and rates["x"] == pytest.approx(2 / 3, abs=1e-6)
-    assert abuse.score_documents(df.limit(0), model).count() == 0
-
-
-def test_every_language_is_calibrated_on_judgements_outside_the_sample(spark):
-    rude, kind = "{} seu verme imundo, você é um lixo", "{} o relatório anual trata de receitas e despesas"
-    docs = [(n, (rude if n % 5 == 0 else kind).format(n), "es" if n % 6 == 0 else "pt") for n in range(600)]
-    documents = spark.createDataFrame([(n, None, t, lang) for n, t, lang in docs], "doc_id bigint, source string, text string, lang string")
-    reviews = spark.createDataFrame([(n, int(n % 5 == 0)) for n, _, _ in docs], "doc_id bigint, ofensivo int")
-    rows, outside = abuse.judged(documents, reviews, 100, 10)
-    own = {r["doc_id"] for r in rows}
-    assert len(own) == 100 and {r["doc_id"] for r in outside.collect()} == set(range(600)) - own
-    counts = abuse.judged_counts(documents, outside, abuse.train([], epochs=2))
-    want = Counter((lang, int(n % 5 == 0)) for n, _, lang in docs if n not in own)
-    assert {(c[0], c[1]): c[2] for c in counts} == dict(want)
-    assert "es" in abuse.fit(documents, reviews, max_docs=100, max_others=10).thresholds
+    assert abuse.score_documents(df.limit(0), taught).count() == 0
+
+
+def test_every_language_has_its_limit(spark):
+    # 'pt' is told apart at 0.5; 'es' needs 0.8 and has much evidence; 'en' needs 0.8 too, but has one document
+    rows = [(n, "pt", 0.9 if n % 5 == 0 else 0.1, int(n % 5 == 0)) for n in range(2000)]
+    rows += [(5000 + n, "es", 0.9 if n % 5 == 0 else 0.7, int(n % 5 == 0)) for n in range(2000)]
+    rows += [(9000, "en", 0.7, 0), (9001, None, 0.9, 1)]
+    scored = spark.createDataFrame([(i, None, lang, x) for i, lang, x, _ in rows], "doc_id bigint, source string, lang string, nota double")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id bigint, rotulo int")
+    own, common = abuse.thresholds(scored, labels)
+    got = {r["lang"]: r["limite"] for r in own.collect()}
+    assert set(got) == {"pt", "es", "en"} and got["es"] > 0.7 and abs(got["en"] - common) <= 0.05
+    only = labels.filter("doc_id < 5000")
+    assert {r["lang"]: r["limite"] for r in abuse.thresholds(scored, only)[0].collect()} == {"pt": 0.5}
+
+
+def test_the_sample_is_bounded_and_the_rest_calibrates(spark):
+    rows = judged_documents(4)
+    documents = spark.createDataFrame([(i, None, t, "es" if i % 6 == 0 else "pt") for i, t, _ in rows], "doc_id bigint, source string, text string, lang string")
+    reviews = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, None), (7, 1), (None, 1)], "doc_id bigint, ofensivo int")
+    labels, sample = abuse.judged(reviews, 100)
+    assert labels.count() == 599 and sample.count() == 100 and sample.filter("rotulo = 1").count() == 50
+    model, rest = abuse.fit(documents, reviews, max_docs=100)
+    learned = {r["doc_id"] for r in sample.filter("not fora").collect()}
+    assert {r["doc_id"] for r in rest.collect()} == {r["doc_id"] for r in labels.collect()} - learned
+    assert abuse.flag(abuse.score_documents(documents, model), rest).count() == 600
 
 
 def test_subjects_recover_blocks(spark):
