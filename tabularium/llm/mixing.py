@@ -15,23 +15,22 @@ from tabularium.session import small, stage
 
 
 def source_shares(sizes: DataFrame, weights: DataFrame) -> DataFrame:
-    """(source, peso_alvo, max_repeticoes, tokens, quadrados, documentos, total, alvo, copias, resto, esgotada) per weighted source.
+    """(source, peso_alvo, max_repeticoes, tokens, quadrados, documentos, total, alvo, copias, resto) per weighted source.
 
     sizes is (doc_id, source, tokens). The total counts every document whose source is not null once, of unlisted
-    sources too. A listed source without documents is exhausted. Weights with a null source are left out.
+    sources too. Weights with a null source are left out; a null weight is 0, a null number of repetitions 1.
     """
     sums = sizes.filter(F.col("source").isNotNull()).groupBy("source").agg(
         F.sum("tokens").alias("tokens"), F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("quadrados"), F.count("*").alias("documentos")
     )
     total = int(sums.agg(F.sum("tokens")).first()[0] or 0)
-    joined = weights.filter(F.col("source").isNotNull()).select("source", "peso_alvo", "max_repeticoes").join(sums, "source", "left")
+    joined = weights.filter(F.col("source").isNotNull()).select("source", F.coalesce("peso_alvo", F.lit(0.0)).alias("peso_alvo"), F.coalesce("max_repeticoes", F.lit(1)).alias("max_repeticoes")).join(sums, "source", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("tokens", "quadrados", "documentos")}
     out = joined.withColumns(zero).withColumn("total", F.lit(total)).withColumn("alvo", F.col("peso_alvo") * F.lit(total))
-    spent = F.col("tokens") * F.col("max_repeticoes") < F.col("alvo")
-    out = out.withColumn("esgotada", spent | (F.col("documentos") == 0))
-    copies = F.when(F.col("tokens") == 0, 0).when(F.col("esgotada"), F.col("max_repeticoes")).otherwise(F.floor(F.col("alvo") / F.col("tokens"))).cast("int")
+    # whole copies, as many as are allowed; the rest of the target is sampled where another copy is
+    copies = F.when(F.col("tokens") == 0, 0).otherwise(F.least(F.col("max_repeticoes"), F.floor(F.col("alvo") / F.col("tokens")))).cast("int")
     out = out.withColumn("copias", copies)
-    rest = F.when(F.col("esgotada") | (F.col("tokens") == 0), F.lit(0.0)).otherwise(F.col("alvo") - F.col("copias") * F.col("tokens"))
+    rest = F.when((F.col("tokens") == 0) | (F.col("copias") >= F.col("max_repeticoes")), F.lit(0.0)).otherwise(F.col("alvo") - F.col("copias") * F.col("tokens"))
     return out.withColumn("resto", rest)
 
 
@@ -66,14 +65,22 @@ def mix(sizes: DataFrame, weights: DataFrame, seed: int = 7, buckets: int = 4096
 
 
 def actual_shares(mixed: DataFrame, shares: DataFrame) -> DataFrame:
-    """(source, peso_alvo, tokens_alvo, tokens_usados, parte_real, esgotada) per listed source."""
-    used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"))
+    """(source, peso_alvo, tokens_alvo, tokens_usados, parte_real, esgotada) per listed source, as the mixture came out.
+
+    A source is exhausted if its target isn't reached although the mixture uses every one of its documents as often as
+    it may be used (a source without documents, or that may be used no time, too).
+    """
+    limits = shares.select("source", "max_repeticoes")
+    uses = mixed.join(small(limits), "source").groupBy("source").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"), F.count_if(F.col("copias") >= F.col("max_repeticoes")).alias("gastos"))
+    used = stage(uses, "p9-usados")
     grand = int(used.agg(F.sum("usados")).first()[0] or 0)
+    usados = F.coalesce("usados", F.lit(0))
+    spent = (F.coalesce("gastos", F.lit(0)) == F.col("documentos")) | (F.col("max_repeticoes") <= 0)
     return shares.join(used, "source", "left").select(
         "source",
         "peso_alvo",
         F.round("alvo", 3).alias("tokens_alvo"),
-        F.coalesce("usados", F.lit(0)).alias("tokens_usados"),
-        F.round(F.coalesce("usados", F.lit(0)) / F.lit(max(grand, 1)), 6).alias("parte_real"),
-        "esgotada",
+        usados.alias("tokens_usados"),
+        F.round(usados / F.lit(max(grand, 1)), 6).alias("parte_real"),
+        ((usados < F.col("alvo")) & spent).alias("esgotada"),
     )

@@ -43,6 +43,12 @@ def pack(sizes: DataFrame, capacity: int = 2048, id_col: str = "doc_id", classes
     return filled.unionByName(classed.filter("classe = 0").withColumn("caixa", F.lit(None).cast("bigint")))
 
 
+def split_items(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, caixas): the items that the packing laid into more than one container, and into how many."""
+    boxes = packed.filter(F.col("caixa").isNotNull()).groupBy(id_col, "parte").agg(F.min("caixa").alias("caixa")).groupBy(id_col)
+    return boxes.agg(F.countDistinct("caixa").alias("caixas")).filter("caixas > 1")
+
+
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """(classe, caixas, itens, tokens, ocupacao) per class of containers."""
     boxes = packed.filter(F.col("caixa").isNotNull()).groupBy("classe", "caixa").agg(F.count("*").alias("itens"), F.sum("tokens").alias("tokens"))

@@ -113,8 +113,8 @@ def p8_caixas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that the packing had to split."""
-    return p8_caixas(spark, d).filter("parte = 1").select("doc_id").distinct()
+    """The documents that lie in more than one container."""
+    return packing.split_items(p8_caixas(spark, d)).select("doc_id")
 
 
 def p8_ocupacao(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ def p9_partes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """The sources whose documents can't fill their share, however often they may be used."""
+    """The sources that stay below their share in the mixture, though it uses all their documents as often as it may."""
     return p9_partes(spark, d).filter("esgotada").select("source")
 
 

@@ -43,6 +43,13 @@ def test_blocks_drop_navigation_and_keep_text():
     assert markup.keep_blocks(lines) == [("texto", "um parágrafo de verdade"), ("titulo", "T")]
 
 
+def test_stray_fragments_go_and_headings_stay_with_their_text():
+    far = [("texto", "")] * 10
+    text = [("titulo", "Do objeto"), ("texto", ""), ("item", "um"), ("texto", "um parágrafo de verdade")]
+    assert markup.keep_blocks([("item", "x"), *far, *text, *far, ("titulo", "ab"), ("texto", "c")]) == [x for x in text if x[1]]
+    assert markup.keep_blocks([("titulo", "ab")]) == [("titulo", "ab")] and markup.keep_blocks([]) == [] and markup.keep_blocks(far) == []
+
+
 def test_elements_as_rows(spark):
     df = spark.createDataFrame([(1, "# A", "x"), (1, "# A", "y"), (2, None, "z")], "id bigint, integra string, elemento string")
     assert [tuple(r) for r in markup.structural_elements(df, "id", "integra").collect()] == [(1, 0, "titulo", "A")] * 2
@@ -64,6 +71,9 @@ def test_packing(spark):
             boxes[r["caixa"]] = boxes.get(r["caixa"], 0) + r["tokens"]
     assert max(boxes.values()) <= 2048 and len(boxes) <= 1.7 * sum(boxes.values()) / 2048 + 60
     assert {r["doc_id"] for r in rows if r["parte"] == 1} == {i for i, s in sizes if (s or 0) > 2048}
+    once = packing.pack(df.dropDuplicates(["doc_id"]), group_rows=50)
+    split = {r["doc_id"]: r["caixas"] for r in packing.split_items(once).collect()}
+    assert set(split) == {i for i, s in sizes if (s or 0) > 2048} and all(n == (2 if s == 2049 else 5) for i, n in split.items() for s in [dict(sizes[:500])[i]])
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.fill_report(packed).agg(F.max("ocupacao")).first()[0] <= 1
 
@@ -85,7 +95,11 @@ def test_mixing(spark):
         used[r["source"]] = used.get(r["source"], 0) + r["tokens"] * r["copias"]
         assert r["copias"] <= {"a": 1, "b": 3, "c": 2}[r["source"]]
     total = sum(t for _, s, t in docs if s)
-    assert {r["source"] for r in shares.collect() if r["esgotada"]} == {"c", "e"}
+    report = {r["source"]: r for r in mixing.actual_shares(mixed, shares).collect()}
+    assert {s for s, r in report.items() if r["esgotada"]} == {"c", "e"} and report["a"]["tokens_usados"] == used["a"]
+    # the report follows the mixture: a document used less often than it may be is not exhausted
+    fewer = mixed.filter("doc_id <> 9002")
+    assert {r["source"] for r in mixing.actual_shares(fewer, shares).collect() if r["esgotada"]} == {"e"}
     assert abs(used["a"] - 0.3 * total) <= 100 and abs(used["b"] - 0.4 * total) <= 100 and used["c"] == 20
     again = {(r["doc_id"], r["copias"]) for r in mixing.mix(sizes.repartition(7), weights)[0].collect()}
     assert again == {(r["doc_id"], r["copias"]) for r in mixed.collect()}
