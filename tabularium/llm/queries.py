@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.terms import terms
 from tabularium.llm import abuse, canonical, distinctive, frequency, markov, markup, mixing, names, packing, subjects, tokens
 from tabularium.llm.records import records
 from tabularium.llm.sql import SQL
@@ -46,7 +47,13 @@ def p2_grafias(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that 2 to 6 records share, with each record that holds them."""
-    return distinctive.distinctive_terms(records(table(spark, d, "normas")), 2, 6).filter("llr > 0").select("id_norma", "termo")
+    return distinctive.distinctive_terms(records(table(spark, d, "normas")), 2, 6).select("id_norma", "termo")
+
+
+def p3_notas(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every term of a record's summary and of its stored tfidf_topk."""
+    stored = table(spark, d, "ementas_pre_processadas").select("id_norma", F.explode(terms(F.col("tfidf_topk"))).alias("termo"))
+    return distinctive.distinctive_terms(records(table(spark, d, "normas")), listed=stored).withColumn("llr", F.round("llr", 4))
 
 
 def p3_distintivos(spark: SparkSession, d: str) -> DataFrame:
@@ -159,5 +166,5 @@ def p10_taxas(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_grupos, p2_found, p2_grafias, p3_found, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes, p10_found, p10_notas, p10_taxas)
+    f.__name__: f for f in (p1_found, p1_grupos, p2_found, p2_grafias, p3_found, p3_notas, p3_distintivos, p4_found, p4_sem_entrada, p5_found, p5_texto, p6_found, p6_frequencias, p7_found, p7_areas, p7_composicao, p8_found, p8_caixas, p8_ocupacao, p9_found, p9_mistura, p9_partes, p10_found, p10_notas, p10_taxas)
 }

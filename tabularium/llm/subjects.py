@@ -5,8 +5,12 @@ multiplicative updates for the generalised Kullback-Leibler divergence. One comp
 labelled document may load only on its own subjects and on a background component, so component k stays subject k,
 and a row of W is directly the document's mixture of subjects. The background takes what all subjects share.
 
+Terms are hashed to ``BUCKETS`` columns, so that every term of every document counts and H keeps a fixed size however
+the vocabulary grows. A column seen in few labelled documents says little: H is smoothed by ``prior`` documents that
+load on all components as the collection does. A document of terms never seen gets the collection's mixture.
+
 Every update runs over all labelled documents: tasks solve W for their documents in Arrow batches and add up one
-partial of H each; the partials are summed in two levels. Only H (subjects x vocabulary, both bounded) is gathered.
+partial of H each; the partials are summed in two levels. Only H (subjects x columns, both bounded) is gathered.
 """
 
 from __future__ import annotations
@@ -23,46 +27,49 @@ from pyspark.sql import functions as F
 from tabularium.session import stage
 
 
+BUCKETS = 1 << 18
+
+
 @dataclass
 class Model:
-    """topics: subject ids by component; vocabulary and idf by column; h: (subjects + 1) x terms, rows sum to 1."""
+    """topics: subject ids by component; columns: the seen ones, sorted; idf and h have two more columns, for unseen terms and for padding.
+
+    h is (subjects + 1) x (columns + 2), its rows sum to 1. common is the mixture of all labelled documents.
+    """
 
     topics: list[int]
-    vocabulary: dict[str, int]
+    columns: np.ndarray
     idf: np.ndarray
     h: np.ndarray
     threshold: float
+    common: np.ndarray | None = None
+
+    def places(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashed columns of all lists in ``columns``, ends of the lists before each and of the last)."""
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(self.columns, flat)
+        size = len(self.columns)
+        seen = at < size
+        seen[seen] = self.columns[at[seen]] == flat[seen]
+        return np.where(seen, at, size), lists.offsets.to_numpy()
 
 
-def encoded(docs: DataFrame, vocabulary: dict[str, int], topics: list[int], min_score: float) -> DataFrame:
-    """(id_norma, rotulos, colunas, ancoras): terms as sorted vocabulary columns, and the anchors of labelled documents.
+def encoded(docs: DataFrame, topics: list[int], min_score: float = 0.25) -> DataFrame:
+    """(id_norma, rotulos, colunas, ancoras) of docs (id_norma, termos, rotulos): terms as hashed columns, and the anchors of labelled documents.
 
     Anchors are 1 for a document's subjects, little for doubtful ones, 0 for others and 0.3 for the background.
     """
-    at, k = {t: i for i, t in enumerate(topics)}, len(topics)
-    schema = "id_norma bigint, rotulos array<struct<id_topico:int,score:double>>, colunas array<int>, ancoras array<float>"
-
-    def anchors(own: list | None) -> list | None:
-        if own is None:
-            return None
-        m = [0.0] * k + [0.3]
-        for label in own:
-            if label["id_topico"] in at:
-                m[at[label["id_topico"]]] = 0.02 if label["score"] is not None and label["score"] < min_score else 1.0
-        return m
+    labels = F.col("rotulos").cast("array<struct<id_topico:int,score:double>>")
+    weight = lambda r: F.when(r["score"] < min_score, 0.02).otherwise(1.0)
+    own = F.map_from_entries(F.transform(F.col("rotulos"), lambda r: F.struct(r["id_topico"], weight(r))))
+    listed = F.array(*[F.lit(t) for t in topics]).cast("array<int>")
+    anchors = F.concat(F.transform(listed, lambda t: F.coalesce(F.element_at(own, t), F.lit(0.0))), F.array(F.lit(0.3)))
+    columns = F.array_distinct(F.transform("termos", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
+    return docs.withColumn("rotulos", labels).select("id_norma", "rotulos", columns.alias("colunas"), F.when(F.col("rotulos").isNotNull(), anchors.cast("array<float>")).alias("ancoras"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [sorted({vocabulary[t] for t in d if t in vocabulary}) for d in batch.column(2).to_pylist()]
-            masks = [anchors(r) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.float32()))], names=["id_norma", "rotulos", "colunas", "ancoras"])
-
-    return docs.select("id_norma", F.col("rotulos").cast("array<struct<id_topico:int,score:double>>"), "termos").mapInArrow(run, schema)
 
-
-def _bags(lists: pa.Array, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, padded columns) of lists of columns, in groups of similar length; -1 pads."""
-    flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+def _bags(flat: np.ndarray, starts: np.ndarray, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, padded places) of lists that begin at starts, in groups of similar length; -1 pads."""
     lengths = np.diff(starts)
     order = np.argsort(lengths, kind="stable")
     a = 0
@@ -80,7 +87,7 @@ def _bags(lists: pa.Array, cells: int = 400_000) -> Iterator[tuple[np.ndarray, n
 
 def _solve(columns: np.ndarray, ht: np.ndarray, idf: np.ndarray, mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(W, gathered H, ratios X / WH) by multiplicative updates from mask; zeros of the mask stay zero."""
-    x = np.where(columns >= 0, idf[columns], 0.0).astype(np.float32)
+    x = idf[columns]  # 0 at the padding
     hs = ht[columns]
     w = mask * (x.sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-12))[:, None]
     ratio = x
@@ -98,82 +105,80 @@ def labelled_records(records: DataFrame, labels: DataFrame) -> DataFrame:
     return records.join(lists, "id_norma", "left")
 
 
-def fit(docs: DataFrame, topics: list[int], min_df: int = 5, max_terms: int = 50_000, rounds: int = 8, inner: int = 8, min_score: float = 0.25) -> Model:
-    """The model of staged docs (id_norma, termos, rotulos).
-
-    The vocabulary is every term of at least ``min_df`` labelled documents, the ``max_terms`` commonest at most (the
-    bound of what is broadcast). Without labelled documents the vocabulary is empty and nothing gets a subject.
-    """
-    train = docs.filter(F.col("rotulos").isNotNull())
+def fit(coded: DataFrame, topics: list[int], rounds: int = 8, inner: int = 8, prior: float = 10.0) -> Model:
+    """The model of staged encoded documents. Without labelled documents it has no column and nothing gets a subject."""
+    train = coded.filter(F.col("ancoras").isNotNull()).select("colunas", "ancoras")
     k = len(topics)
-    counts = train.select(F.explode(F.array_distinct("termos")).alias("termo")).groupBy("termo").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    terms = counts.orderBy(F.col("df").desc(), "termo").limit(max_terms).collect()
-    n = max(train.count(), 1)
-    vocabulary = {r["termo"]: i for i, r in enumerate(terms)}
-    idf = np.append(np.log(np.maximum(n / np.array([r["df"] for r in terms], float), 1.0)), 0.0)  # the last column pads
-    size = len(vocabulary)
+    seen = train.select(F.explode("colunas").alias("c")).groupBy("c").agg(F.count("*").alias("df")).orderBy("c").toPandas()  # BUCKETS rows at most
+    columns, df = seen["c"].to_numpy(np.int64), seen["df"].to_numpy(float)
+    n, size = max(train.count(), 1), len(columns)
+    idf = np.concatenate([np.log(np.maximum(n / df, 1.0)), [max(np.log(n), 1.0), 0.0]]).astype(np.float32)
+    model = Model(topics, columns, idf, np.zeros((k + 1, size + 2), np.float32), 0.28)
     if not size or not k:
-        return Model(topics, vocabulary, idf, np.zeros((k + 1, size + 1)), 0.28)
-    coded = stage(encoded(train, vocabulary, topics, min_score), "p7-treino")
-    weights = idf.astype(np.float32)
-    h = None
+        return Model(topics, columns[:0], idf[-2:], model.h[:, -2:], 0.28)
     partials = "k int, grupo int, soma array<double>"
+    counts = train.select(F.posexplode("ancoras").alias("c", "v")).groupBy("c").agg(F.sum("v").alias("v")).orderBy("c").collect()  # subjects + 1 rows
+    common = np.array([r["v"] for r in counts[:k]]) / max(sum(r["v"] for r in counts[:k]), 1e-12)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "grupo": [pdf["grupo"].iloc[0]], "soma": [np.sum(np.stack(pdf["soma"].to_list()), axis=0)]})
 
-    for _ in range(rounds + 1):
+    for n_round in range(rounds + 1):
+        shared = coded.sparkSession.sparkContext.broadcast((model, n_round > 0))
 
-        def run(batches: Iterator[pa.RecordBatch], h=h) -> Iterator[pa.RecordBatch]:
-            ht = None if h is None else np.ascontiguousarray(h.T, np.float32)
-            total, part = np.zeros((size + 1, k + 1)), 0
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m, solving = shared.value
+            ht, weights = np.ascontiguousarray(m.h.T), m.idf
+            total, part = np.zeros((size + 2, k + 1)), 0
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 part = batch.column(0)[0].as_py()
                 masks = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k + 1)
-                for rows, columns in _bags(batch.column(1)):
-                    if ht is None:  # seeds: each anchor's own documents
-                        share = masks[rows][:, None, :] * np.where(columns >= 0, weights[columns], 0.0)[:, :, None]
-                    else:
-                        w, hs, ratio = _solve(columns, ht, weights, masks[rows], inner)
+                for rows, places in _bags(*m.places(batch.column(1))):
+                    if solving:
+                        w, hs, ratio = _solve(places, ht, weights, masks[rows], inner)
                         share = hs * ratio[:, :, None] * w[:, None, :]
-                    flat = columns.ravel()
+                    else:  # seeds: each anchor's own documents
+                        share = masks[rows][:, None, :] * weights[places][:, :, None]
+                    flat = np.where(places < 0, size + 1, places).ravel()
                     for c in range(k + 1):
-                        total[:, c] += np.bincount(np.where(flat < 0, size, flat), weights=share[:, :, c].ravel(), minlength=size + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array([part % 16] * (k + 1), pa.int32()), pa.array(list(total.T), pa.list_(pa.float64()))], names=["k", "grupo", "soma"])
+                        total[:, c] += np.bincount(flat, weights=share[:, :, c].ravel(), minlength=size + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array([part % 16] * (k + 1), pa.int32()), pa.array(list(total[:size].T), pa.list_(pa.float64()))], names=["k", "grupo", "soma"])
 
-        parts = coded.select(F.spark_partition_id().alias("p"), "colunas", "ancoras").mapInArrow(run, partials)
+        parts = train.select(F.spark_partition_id().alias("p"), "colunas", "ancoras").mapInArrow(run, partials)
         first = parts.groupBy("k", "grupo").applyInPandas(add, partials)
         sums = first.groupBy("k").applyInPandas(add, partials).collect()  # subjects + 1 rows
-        h = np.zeros((k + 1, size + 1))
+        shared.unpersist()
+        h = np.zeros((k + 1, size + 2))
         for r in sums:
-            h[r["k"]] = r["soma"]
-        h[:, size] = 0
-        h = h + 1e-9
-        h = h / h.sum(axis=1, keepdims=True)
-    return Model(topics, vocabulary, idf, h, 0.28)
+            h[r["k"], :size] = r["soma"]
+        # the prior: so many more documents of each column, spread over the components as all documents are
+        h[:, : size + 1] += (h.sum(axis=1) / max(h.sum(), 1e-12))[:, None] * prior * idf[: size + 1] + 1e-9
+        model = Model(topics, columns, idf, (h / h.sum(axis=1, keepdims=True)).astype(np.float32), 0.28, common)
+    return model
 
 
-def mixtures(docs: DataFrame, model: Model, rounds: int = 40) -> DataFrame:
-    """(id_norma, rotulos, partes): the share of each subject in a document; null where no term is in the vocabulary."""
+def mixtures(coded: DataFrame, model: Model, rounds: int = 40) -> DataFrame:
+    """(id_norma, rotulos, partes): the share of each subject in a document; null without subjects."""
     schema = "id_norma bigint, rotulos array<struct<id_topico:int,score:double>>, partes array<double>"
-    k, size = len(model.topics), len(model.vocabulary)
+    k, shared = len(model.topics), coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ht, weights = np.ascontiguousarray(model.h.T, np.float32), model.idf.astype(np.float32)
+        m = shared.value
+        ht = np.ascontiguousarray(m.h.T)
         for batch in batches:
             shares: list = [None] * batch.num_rows
-            if size and k:
-                for rows, columns in _bags(batch.column(2)):
-                    w = _solve(columns, ht, weights, np.ones((len(rows), k + 1), np.float32), rounds)[0][:, :k].astype(np.float64)
+            if k:
+                for rows, places in _bags(*m.places(batch.column(2))):
+                    w = _solve(places, ht, m.idf, np.ones((len(rows), k + 1), np.float32), rounds)[0][:, :k].astype(np.float64)
                     total = w.sum(axis=1)
-                    for r, own, t in zip(rows, w, total):
-                        shares[r] = own / t if t > 1e-9 else None
+                    known = ((places >= 0) & (places < len(m.columns))).any(axis=1)
+                    for r, own, t, seen in zip(rows, w, total, known):
+                        shares[r] = own / t if seen and t > 1e-9 else m.common
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.list_(pa.float64()))], names=["id_norma", "rotulos", "partes"])
 
-    coded = encoded(docs, model.vocabulary, model.topics, 0.0).select("id_norma", "rotulos", "colunas")
-    return coded.mapInArrow(run, schema)
+    return coded.select("id_norma", "rotulos", "colunas").mapInArrow(run, schema)
 
 
 def chosen(mixed: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -206,16 +211,18 @@ def calibrate(mixed: DataFrame, model: Model, min_score: float = 0.25, grid: tup
 
 
 def subjects(records: DataFrame, labels: DataFrame, topics: DataFrame) -> DataFrame:
-    """(id_norma, id_topico, parte, rotulado) for every record with a term of the vocabulary.
+    """(id_norma, id_topico, parte, rotulado) for every record; each has one subject at least.
 
     records (id_norma, termos) has one row per id. Null topics and scores are allowed; labels of unknown topics don't count.
+    A record whose terms no labelled one holds gets the commonest subject. Without labels or topics there are no rows.
     """
     ids = [r[0] for r in topics.select(F.col("id").cast("int")).filter("id is not null").distinct().orderBy("id").collect()]
-    docs = stage(labelled_records(records, labels.withColumn("id_topico", F.col("id_topico").cast("int"))), "p7-registros")
-    model = fit(docs, ids)
-    if not model.vocabulary:
-        return docs.limit(0).select("id_norma", F.lit(0).alias("id_topico"), F.lit(0.0).alias("parte"), F.lit(False).alias("rotulado"))
-    mixed = stage(mixtures(docs, model), "p7-misturas")
+    docs = labelled_records(records, labels.withColumn("id_topico", F.col("id_topico").cast("int")))
+    coded = stage(encoded(docs, ids), "p7-registros")
+    model = fit(coded, ids)
+    if not len(model.columns):
+        return coded.limit(0).select("id_norma", F.lit(0).alias("id_topico"), F.lit(0.0).alias("parte"), F.lit(False).alias("rotulado"))
+    mixed = stage(mixtures(coded, model), "p7-misturas")
     picked = chosen(mixed.withColumn("id_norma", F.struct("id_norma", F.col("rotulos").isNotNull().alias("r"))), model, calibrate(mixed, model))
     return picked.select("id_norma.id_norma", "id_topico", "parte", F.col("id_norma.r").alias("rotulado"))
 

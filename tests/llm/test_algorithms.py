@@ -153,7 +153,14 @@ def test_distinctive_scores(spark, normas, plain):
         assert abs(abs(score) - max(g, 0)) < 1e-6 * max(1, g)
     few = {(r["id_norma"], r["termo"]) for r in distinctive.distinctive_terms(records(normas), 2, 6).collect()}
     assert few == {(i, w) for i, t in plain.items() for w in t if 2 <= df[w] <= 6}
+    stored = spark.createDataFrame([(0, "dispoe"), (0, "dispoe"), (0, "inexistente"), (0, "outro"), (9999, "escola"), (1, None), (None, "escola")], "id_norma bigint, termo string")
+    more = {(r["id_norma"], r["termo"]): r for r in distinctive.distinctive_terms(records(normas), listed=stored).collect()}
+    assert set(more) == set(got) | {(0, "inexistente"), (0, "outro")} | {(0, "dispoe")}
+    assert {k for k, r in more.items() if r["listado"]} == {(0, "dispoe"), (0, "inexistente"), (0, "outro")}
+    assert more[(0, "inexistente")]["registros"] == more[(0, "inexistente")]["llr"] == 0 and more[(0, "outro")]["llr"] < 0
+    assert all(abs(more[k]["llr"] - got[k]) < 1e-9 for k in got)
     assert distinctive.distinctive_terms(records(normas.limit(0))).count() == 0
+    assert distinctive.distinctive_terms(records(normas.limit(0)), listed=stored).count() == 0
 
 
 def levenshtein(a, b):

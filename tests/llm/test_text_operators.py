@@ -210,5 +210,10 @@ def test_subjects_recover_blocks(spark):
         got.setdefault(r["id_norma"], set()).add(r["id_topico"])
     want = {i: {i % 3 + 1} if i % 5 else {i % 3 + 1, (i + 1) % 3 + 1} for i in range(240) if i % 4 == 0}
     assert sum(got.get(i) == w for i, w in want.items()) / len(want) >= 0.9
+    # rare and unseen terms count too: every record gets a subject, the commonest one where nothing speaks for another
+    strange = records.unionByName(spark.createDataFrame([(900, ["zzz"]), (901, ["qqq", "credito", "despesa"])], "id_norma bigint, termos array<string>"))
+    most = lab.unionByName(spark.createDataFrame([(i, 2, None) for i in range(240) if i % 3 == 1 and i % 4], "id_norma bigint, id_topico int, score_pertinencia double")).filter("id_norma % 3 = 1 or id_norma % 2 = 0")
+    rows = {r["id_norma"]: r["id_topico"] for r in subjects.subjects(strange, most, areas).filter("not rotulado").collect() if r["id_norma"] >= 900}
+    assert rows == {900: 2, 901: 1}
     assert subjects.subjects(records, lab.limit(0), areas).count() == 0
     assert subjects.subjects(records.limit(0), lab, areas).count() == 0
