@@ -3,12 +3,15 @@
 1. Names become forms: folded tokens, generational suffix apart, titles and particles dropped. Equal forms are one.
 2. Symmetric-delete neighbourhood: two tokens within one edit (two, for long ones) share a string left by deleting
    letters of either. An equality join on those strings finds the neighbours; a rare spelling takes the commonest.
-3. Forms that share two corrected tokens and the suffix meet in a block. The rest of their tokens is aligned by
+3. Forms that share any two corrected tokens and the suffix meet in a block. The rest of their tokens is aligned by
    optimal assignment; initials, abbreviations, nicknames and typing errors may pair. A form with little left
-   (initials only) joins only where exactly one name of the block fits.
+   (initials only) joins only where exactly one name of the block fits. Names without two long tokens meet where all
+   tokens but one are equal and that one is a typing error.
 4. Links are stars, never all pairs of a block; entities are their connected components.
 
-A hot name is one form however many rows it has, so blocks grow with distinct spellings, not with rows.
+A hot name is one form however many rows it has, so blocks grow with distinct spellings, not with rows. A block of
+many forms is split by the letters that two tokens which may pair share at their beginning, so that its size changes
+the cost and not the links (but for forms that fit several names equally well).
 """
 
 from __future__ import annotations
@@ -110,33 +113,54 @@ def cost(a: str, b: str) -> float:
     return 9.0
 
 
+def optimal(costs: list[list[float]]) -> list[int]:
+    """The column of each row in the assignment of least total cost, for a matrix with at least as many columns as rows.
+
+    Shortest augmenting paths with potentials (the Hungarian method); exact for every size.
+    """
+    rows, cols = len(costs), len(costs[0]) if costs else 0
+    u, v, owner = [0.0] * rows, [0.0] * cols, [-1] * cols
+    for r in range(rows):
+        reach, before, done = [float("inf")] * cols, [-1] * cols, [False] * cols
+        row, last = r, -1
+        while row >= 0:
+            best, at = float("inf"), -1
+            for c in range(cols):
+                if not done[c]:
+                    new = costs[row][c] - u[row] - v[c] + (reach[last] if last >= 0 else 0.0)
+                    if new < reach[c] - 1e-12:
+                        reach[c], before[c] = new, last
+                    if reach[c] < best:
+                        best, at = reach[c], c
+            done[at] = True
+            row, last = owner[at], at
+        for c in range(cols):
+            if done[c] and c != last:
+                v[c] += reach[c] - reach[last]
+                u[owner[c]] += reach[last] - reach[c]
+        u[r] += reach[last]
+        while last >= 0:
+            owner[last] = owner[before[last]] if before[last] >= 0 else r
+            last = before[last]
+    out = [0] * rows
+    for c, r in enumerate(owner):
+        if r >= 0:
+            out[r] = c
+    return out
+
+
 def assign(left: list[str], right: list[str]) -> tuple[float, list[str], list[str]]:
-    """(cost, unmatched of left, unmatched of right) of the best assignment of the shorter list's tokens; exact for short lists, greedy beyond six."""
+    """(cost, unmatched of left, unmatched of right) of the best assignment: as many pairs as possible, then the least cost."""
     if len(left) > len(right):
         c, r, l = assign(right, left)
         return c, l, r
-    pairs = sorted((cost(a, b), i, j) for i, a in enumerate(left) for j, b in enumerate(right) if cost(a, b) < 9)
-    best: list = [(-1, 0.0, ())]
-
-    def search(at: int, used_i: int, used_j: int, total: float, chosen: tuple) -> None:
-        if (len(chosen), -total) > (best[0][0], -best[0][1]):
-            best[0] = (len(chosen), total, chosen)
-        for n in range(at, len(pairs)):
-            c, i, j = pairs[n]
-            if not used_i >> i & 1 and not used_j >> j & 1:
-                search(n + 1, used_i | 1 << i, used_j | 1 << j, total + c, (*chosen, (i, j)))
-
-    if len(pairs) <= 14:
-        search(0, 0, 0, 0.0, ())
-        chosen, total = best[0][2], best[0][1]
-    else:
-        chosen, total, ui, uj = (), 0.0, set(), set()
-        for c, i, j in pairs:
-            if i not in ui and j not in uj:
-                chosen, total = (*chosen, (i, j)), total + c
-                ui.add(i)
-                uj.add(j)
-    return total, [a for i, a in enumerate(left) if i not in {x for x, _ in chosen}], [b for j, b in enumerate(right) if j not in {y for _, y in chosen}]
+    if not left:
+        return 0.0, [], list(right)
+    costs = [[cost(a, b) for b in right] for a in left]
+    chosen = optimal([[x if x < 9 else 1000.0 for x in row] for row in costs])
+    pairs = [(i, j) for i, j in enumerate(chosen) if costs[i][j] < 9]
+    used, taken = {i for i, _ in pairs}, {j for _, j in pairs}
+    return sum(costs[i][j] for i, j in pairs), [a for i, a in enumerate(left) if i not in used], [b for j, b in enumerate(right) if j not in taken]
 
 
 def _strong(tokens: list[str]) -> list[str]:
@@ -166,17 +190,17 @@ def link_block(t1: str, t2: str, forms: list[tuple[str, list[str], bool]]) -> li
     links: list[tuple[str, str]] = []
     clusters: list[list] = []  # of (key, tokens, rest); probes never found one
     for key, tokens, rest, probe in full:
-        fits = [c for c in clusters if any(same(rest, r, tokens, w) for _, w, r in c[:8])]
+        fits = [c for c in clusters if any(same(rest, r, tokens, w) for _, w, r in c)]
         if fits:
-            fits.sort(key=lambda c: min(assign(rest, r)[0] for _, w, r in c[:8]))
+            fits.sort(key=lambda c: min(assign(rest, r)[0] for _, w, r in c))
             links.append((key, fits[0][0][0]))
-            if not probe:
+            if not probe and all(r != rest for _, _, r in fits[0]):  # equal rests compare alike
                 fits[0].append((key, tokens, rest))
         elif not probe:
             clusters.append([(key, tokens, rest)])
     loose: list[list] = []
     for key, tokens, rest, probe in partial:
-        fits = [c for c in clusters if not assign(rest, c[0][2])[1] or any(not assign(rest, r)[1] for _, _, r in c[:8])] if len(rest) <= 4 else []
+        fits = [c for c in clusters if not assign(rest, c[0][2])[1] or any(not assign(rest, r)[1] for _, _, r in c)]
         if len(fits) == 1:
             links.append((key, fits[0][0][0]))
         elif not fits and not clusters:
@@ -214,7 +238,8 @@ def neighbours(probes: DataFrame, references: DataFrame) -> DataFrame:
     """(token, ref, d) for tokens of probes and references (both: token) within one edit, or two for eight letters or more."""
     a = probes.filter("length(token) >= 4").select("token", F.explode(deletions(F.col("token"))).alias("resto"))
     b = references.filter("length(token) >= 4").select(F.col("token").alias("ref"), F.explode(deletions(F.col("token"))).alias("resto"))
-    pairs = a.join(b, "resto").filter("token <> ref").select("token", "ref").distinct()
+    # two swaps are four plain edits: the built-in distance leaves few pairs to look at
+    pairs = a.join(b, "resto").filter("token <> ref AND levenshtein(token, ref, 4) >= 0").select("token", "ref").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,14 +253,14 @@ def neighbours(probes: DataFrame, references: DataFrame) -> DataFrame:
 def corrections(tokens: DataFrame, references: DataFrame, own: bool) -> DataFrame:
     """(token, certo, partes): the reference token each token stands for, itself included; a run-together token gives both parts.
 
-    tokens and references are (token, n). Among a table's own tokens only a clearly rarer spelling gives way, by one
-    edit; a token met in more than five texts is no typing error.
+    tokens and references are (token, n): in how many texts a token occurs. Among a table's own tokens a clearly rarer spelling gives way, by one edit. In other texts a
+    spelling is no typing error of a token that those texts hold clearly less often.
     """
     near = neighbours(tokens, references).join(tokens, "token").join(references.select(F.col("token").alias("ref"), F.col("n").alias("m")), "ref")
     if own:
-        near = near.filter("d = 1 AND (n <= 3 AND m >= 2 * n OR m = 1 AND n = 1 AND length(token) >= 7 AND ref < token)")
+        near = near.filter("d = 1 AND (n <= 3 AND m >= 2 * n OR m >= 8 * n OR m = 1 AND n = 1 AND length(token) >= 7 AND ref < token)")
     else:
-        near = near.filter("n <= CASE d WHEN 1 THEN 5 ELSE 3 END")
+        near = near.join(tokens.select(F.col("token").alias("ref"), F.col("n").alias("k")), "ref", "left").filter("n <= coalesce(k, 0) + CASE d WHEN 1 THEN 5 ELSE 3 END")
     best = near.groupBy("token").agg(F.min_by("ref", F.struct("d", (-F.col("m")).alias("m"), "ref")).alias("ref"))
     known = references.select(F.col("token").alias("k"))
     splits = tokens.filter("length(token) >= 10" + (" AND n <= 2" if own else "")).select("token", F.explode(F.sequence(F.lit(4), F.length("token") - 4)).alias("i"))
@@ -255,22 +280,31 @@ def corrected(forms: DataFrame, fixes: DataFrame) -> DataFrame:
     return parts.select("texto", "sufixo", F.flatten(F.transform("p", lambda x: x["c"])).alias("tokens"))
 
 
-def block_links(forms: DataFrame, counts: DataFrame, hot: int = 400) -> DataFrame:
-    """(chave, outra, sonda): star links within the blocks of forms (chave, tokens, sufixo, sonda).
+BLOCK = ["t1", "t2", "sufixo"]
+
+
+def blocks(forms: DataFrame, hot: int = 400) -> DataFrame:
+    """(t1, t2, sufixo, t3, chave, tokens, sonda, grande): each form (chave, tokens, sufixo, sonda) in the block of each pair of its long tokens.
 
-    A form's block keys are the pairs among its four rarest long tokens; counts is (token, n). A block of more than
-    ``hot`` forms (the pair of words that many organisations begin with) is split by a third of those tokens.
+    In a block of more than ``hot`` forms, t3 goes through the first three letters of each further token. Tokens that
+    may pair share one of them: initials, abbreviations and nicknames the first letter, typing errors of one or two
+    letters one of the first three. Forms of nothing but short further tokens, which may be acronyms, meet in '' too.
     """
-    each = forms.select("chave", F.explode(F.array_distinct(F.filter("tokens", lambda t: F.length(t) >= 4))).alias("token")).join(counts, "token", "left")
-    w = Window.partitionBy("chave").orderBy(F.coalesce("n", F.lit(0)), "token")
-    rare = each.withColumn("r", F.row_number().over(w)).filter("r <= 4").groupBy("chave").agg(F.array_sort(F.collect_list("token")).alias("k"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.transform(F.slice("k", i + 1, 4), lambda y: F.struct(F.element_at("k", i).alias("t1"), y.alias("t2")))))
-    keyed = rare.filter("size(k) >= 2").select("chave", "k", F.explode(pairs).alias("p")).select("chave", "k", "p.t1", "p.t2").join(forms, "chave")
-    big = keyed.groupBy("t1", "t2", "sufixo").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("t1", "t2", "sufixo", F.lit(True).alias("grande"))
-    others = F.array_except("k", F.array("t1", "t2"))
-    third = F.when(F.col("grande") & (F.size(others) > 0), others).otherwise(F.array(F.lit("")))
-    split = keyed.join(big, ["t1", "t2", "sufixo"], "left").withColumn("t3", F.explode(third))
-    block = ["t1", "t2", "sufixo", "t3"]
+    long_ = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: F.length(t) >= 4)))
+    each = forms.withColumn("k", long_).filter("size(k) >= 2")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.transform(F.slice("k", i + 1, F.size("k")), lambda y: F.struct(F.element_at("k", i).alias("t1"), y.alias("t2")))))
+    keyed = each.select("chave", "tokens", "sufixo", "sonda", F.explode(pairs).alias("p")).select("chave", "tokens", "sufixo", "sonda", "p.t1", "p.t2")
+    big = keyed.groupBy(*BLOCK).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(*BLOCK, F.lit(True).alias("grande"))
+    rest = F.filter("tokens", lambda t: (t != F.col("t1")) & (t != F.col("t2")))
+    letters = F.array_distinct(F.flatten(F.transform(rest, lambda t: F.split(F.substring(t, 1, 3), ""))))
+    short = F.when(F.forall(rest, lambda t: F.length(t) <= 4), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    third = F.when(F.col("grande"), F.array_distinct(F.concat(letters, short))).otherwise(F.array(F.lit("")))
+    return keyed.join(big, BLOCK, "left").select(*BLOCK, F.explode(third).alias("t3"), "chave", "tokens", "sonda", F.coalesce("grande", F.lit(False)).alias("grande"))
+
+
+def block_links(split: DataFrame) -> DataFrame:
+    """(chave, outra, sonda): star links within the blocks."""
+    block = [*BLOCK, "t3"]
     ordered = split.select(*block, "chave", "tokens", "sonda").repartition(*block).sortWithinPartitions(*block)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -293,7 +327,30 @@ def block_links(forms: DataFrame, counts: DataFrame, hot: int = 400) -> DataFram
     return ordered.mapInArrow(run, "chave string, outra string, sonda boolean")
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 12) -> DataFrame:
+def sole_links(split: DataFrame, parts: DataFrame) -> DataFrame:
+    """(chave, outra, sonda): in split blocks, the forms of nothing but the two tokens, where all fuller forms are one entity of parts (chave, entidade)."""
+    hot = split.filter("grande")
+    bare = hot.filter("size(tokens) = 2").select(*BLOCK, "chave", "sonda").distinct()
+    fuller = hot.filter("size(tokens) > 2 AND NOT sonda").select(*BLOCK, "chave").distinct().join(parts, "chave")
+    sole = fuller.groupBy(*BLOCK).agg(F.min("entidade").alias("outra"), F.max("entidade").alias("ultima")).filter("outra = ultima")
+    return bare.join(sole, BLOCK).select("chave", "outra", "sonda")
+
+
+def short_links(forms: DataFrame) -> DataFrame:
+    """(chave, outra, sonda): links of names without two long tokens: all tokens equal but one, which differs by one edit.
+
+    The forms that share what is left after deleting a letter of one token are linked to the least of them.
+    """
+    short = forms.filter("NOT sonda AND size(filter(tokens, t -> length(t) >= 4)) < 2 AND size(tokens) >= 2")
+    each = short.select("chave", "sufixo", "tokens", F.posexplode("tokens").alias("i", "token")).filter("length(token) >= 3")
+    others = F.array_sort(F.filter("tokens", lambda t, n: n != F.col("i")))
+    keyed = each.select("chave", "sufixo", "token", F.concat_ws(" ", others).alias("outros"), F.explode(deletions(F.col("token"))).alias("resto"))
+    key = ["sufixo", "outros", "resto"]
+    least = keyed.groupBy(*key).agg(F.min(F.struct("chave", "token")).alias("m")).select(*key, F.col("m.chave").alias("outra"), F.col("m.token").alias("t"))
+    return keyed.join(least, key).filter("chave <> outra AND levenshtein(token, t, 1) >= 0").select("chave", "outra", F.lit(False).alias("sonda")).distinct()
+
+
+def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(chave, entidade): the least key of each node's connected component, by minimum labels and pointer jumping."""
     both = stage(links.select(F.col("chave").alias("a"), F.col("outra").alias("b")).unionByName(links.select(F.col("outra").alias("a"), F.col("chave").alias("b"))).distinct(), "p2-ligacoes")
     labels = stage(nodes.select("chave", F.col("chave").alias("entidade")), "p2-rotulos")
@@ -307,8 +364,9 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 12) -> Data
         labels = new.select("chave", "entidade")
         labels._staged_path = new._staged_path
         if not moved:
-            break
-    return labels
+            unstage(both)
+            return labels
+    raise RuntimeError(f"the components still change after {max_rounds} rounds")
 
 
 def entities(autores: DataFrame, norma_autor: DataFrame, cargos: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -346,8 +404,14 @@ def entities(autores: DataFrame, norma_autor: DataFrame, cargos: DataFrame) -> t
 
     nodes = ready.select("chave", "tokens", "sufixo").dropDuplicates(["chave"]).withColumn("sonda", F.lit(False))
     asked = probes.select("chave", "tokens", "sufixo").dropDuplicates(["chave"]).withColumn("sonda", F.lit(True))
-    links = stage(block_links(nodes.unionByName(asked), right), "p2-elos")
+    every = stage(nodes.unionByName(asked), "p2-nos")
+    split = stage(blocks(every), "p2-blocos")
+    links = stage(block_links(split).unionByName(short_links(every)), "p2-elos")
     parts = components(nodes, links.filter("not sonda"))
+    more = stage(sole_links(split, parts), "p2-elos")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        parts = components(nodes, links.filter("not sonda"))
     people = autores.select(F.col("id"), F.col("nome").alias("texto")).filter("id IS NOT NULL").distinct().join(ready.select("texto", "chave"), "texto").join(parts, "chave").select("id", "entidade").distinct()
     meant = links.filter("sonda").join(parts.select(F.col("chave").alias("outra"), "entidade"), "outra").groupBy("chave").agg(F.min("entidade").alias("entidade"), F.max("entidade").alias("ultima")).filter("entidade = ultima")
     named_in = probes.select(F.col("texto").alias("cargo_autor"), "chave").join(meant.select("chave", "entidade"), "chave").select("cargo_autor", "entidade")
@@ -357,8 +421,9 @@ def entities(autores: DataFrame, norma_autor: DataFrame, cargos: DataFrame) -> t
 def found(autores: DataFrame, norma_autor: DataFrame, cargos: DataFrame) -> DataFrame:
     """(id_norma, id_a, id_b): with id_norma 0 the pairs of ids of one entity; else a row's author and the lowest id of the other person its title names."""
     people, named = entities(autores, norma_autor, cargos)
-    other = people.select(F.col("id").alias("id_b"), "entidade")
-    pairs = people.select(F.col("id").alias("id_a"), "entidade").join(other, "entidade").filter("id_a < id_b").select(F.lit(0).cast("bigint").alias("id_norma"), "id_a", "id_b")
+    # the pairs of a big entity are made in 16 shares
+    other = people.select(F.col("id").alias("id_b"), "entidade", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("parte"))
+    pairs = people.select(F.col("id").alias("id_a"), "entidade", F.pmod(F.hash("id"), F.lit(16)).alias("parte")).join(other, ["entidade", "parte"]).filter("id_a < id_b").select(F.lit(0).cast("bigint").alias("id_norma"), "id_a", "id_b")
     lowest = people.groupBy("entidade").agg(F.min("id").alias("outro"))
     target = named.join(lowest, "entidade")
     rows = norma_autor.select("id_norma", "id_autor", "cargo_autor").filter("id_norma IS NOT NULL AND id_autor IS NOT NULL AND cargo_autor IS NOT NULL").distinct().join(target, "cargo_autor")

@@ -2,6 +2,7 @@
 
 import glob
 import html
+import itertools
 import math
 import os
 import random
@@ -218,6 +219,59 @@ def test_name_forms():
     assert names.edits("wednaldo", "wendaldo") == 1
 
 
+def test_assignment_is_optimal_for_every_size():
+    rng = random.Random(9)
+    for _ in range(300):
+        n, m = rng.randint(1, 5), rng.randint(5, 6)
+        costs = [[rng.choice([0.0, 0.2, 0.5, 0.6, 1000.0]) for _ in range(m)] for _ in range(n)]
+        got = names.optimal(costs)
+        assert len(set(got)) == n
+        assert sum(costs[i][j] for i, j in enumerate(got)) == pytest.approx(min(sum(costs[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n)))
+    many = [f"nome{chr(97 + i)}xyz" for i in range(25)]
+    assert names.assign(many, list(reversed(many))) == (0.0, [], [])
+    assert names.assign([], ["a"]) == (0.0, [], ["a"]) and names.assign(["ana"], ["bia"])[1:] == (["ana"], ["bia"])
+
+
+def test_splitting_a_block_changes_no_entity(spark):
+    people = [(f"Associacao Cultural {a} {c}", n) for n, (a, c) in enumerate(itertools.product(["Barrovia", "Waldomundo", "Crespozeiro", "Arlofonte"], ["Norte", "Leste", "Ilhas"]))]
+    forms = []
+    for text, _ in people:
+        first, second, third, last = text.split()
+        forms += [text, f"{first} {second} {third[0]}. {last}", f"{last} {first} {second} {third}", f"{first} {second} {third[:-1]}x {last}", f"{first} {second} {third} {last[0]}"]
+    rows = sorted({(" ".join(names.form(f)[0]), tuple(names.form(f)[0])) for f in forms} | {("associacao cultural", ("associacao", "cultural"))})
+    nodes = spark.createDataFrame([(k, list(t), "", False) for k, t in rows], "chave string, tokens array<string>, sufixo string, sonda boolean")
+    parts = []
+    for hot in (10_000, 5):
+        split = names.blocks(nodes, hot)
+        assert split.filter("grande").count() == 0 or hot == 5
+        whole = names.components(nodes, names.block_links(split))
+        found = whole.collect()
+        parts.append({r["chave"]: r["entidade"] for r in found})
+    assert parts[0] == parts[1] and 1 < len(set(parts[0].values())) < len(rows)
+    # a form of the two words alone belongs to an entity only if there is no other
+    one = nodes.filter("chave in ('associacao cultural', 'associacao cultural barrovia norte', 'associacao cultural b norte')")
+    split = names.blocks(one, 1)
+    joined = names.sole_links(split, names.components(one, names.block_links(split)))
+    assert [r["chave"] for r in joined.collect()] == ["associacao cultural"]
+
+
+def test_short_names_meet_their_misspelling(spark):
+    people = [(1, "Ana Luz"), (2, "Ana Lus"), (3, "Ivo Sá"), (4, "Ana Sol"), (5, "Eva Luz")]
+    got = names.found(spark.createDataFrame(people, "id bigint, nome string"), spark.createDataFrame([], "id_norma bigint, id_autor bigint, cargo_autor string"), spark.createDataFrame([], "cargo string"))
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 2)}
+
+
+def test_names_in_titles_survive_more_titles(spark):
+    people = [(1, "Amostozima Crespagosa Vilheiros"), (2, "Nazarecaste Falcadim Teodossel")]
+    autores, cargos = spark.createDataFrame(people, "id bigint, nome string"), spark.createDataFrame([("PREFEITO",)], "cargo string")
+    for times in (1, 12):
+        # the misspelt name stands in many titles, the right one in more
+        places = "norte sul leste oeste alto baixo velho novo grande menor central rural urbano fluvial".upper().split()
+        titles = [(n, 2, f"PREFEITO {w} AMOSTOZIMA CRESPAGOZA") for n, w in enumerate(places[:times])] + [(100 + n, 2, f"PREFEITO {w} AMOSTOZIMA CRESPAGOSA") for n, w in enumerate(places[: times + 2])]
+        got = names.found(autores, spark.createDataFrame(titles, "id_norma bigint, id_autor bigint, cargo_autor string"), cargos)
+        assert {r["id_norma"] for r in got.collect()} == {t[0] for t in titles}
+
+
 def test_entities(spark):
     people = [
         (1, "Amostozima Crespagosa Vilheiros"), (2, "VILHEIROS, AMOSTOZIMA CRESPAGOSA"), (3, "Amostozima C. Vilheiros"), (4, "A. Crespagossa Vilheiros"), (5, "Dr. Amostozima de Crespagosa-Vilheiros"),
