@@ -68,6 +68,11 @@ def _cost(distance: str, s: str, ref: str) -> str:
     return f"CASE WHEN array_sort(split({s}, '')) = array_sort(split({ref}, '')) THEN 1 ELSE {distance} END"
 
 
+def _prefixes(references: str) -> str:
+    """Every beginning of three letters or more of each reference, so that abbreviations are found by equality."""
+    return f"SELECT *, explode(transform(sequence(3, length(ref)), i -> left(ref, i))) AS inicio FROM {references} WHERE length(ref) >= 3"
+
+
 def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, autores: DataFrame, min_share: float = 0.6) -> DataFrame:
     """(cargo_autor, id_cargo) for every distinct non-blank typed title; id_cargo is 0 where no entry fits.
 
@@ -110,7 +115,7 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
             SELECT s, min_by(ref, struct(ordem, -peso, ref)) AS palavra FROM (
               SELECT s, n.ref, {_cost('distancia', 's', 'n.ref')} AS ordem, peso FROM {{near}} n JOIN {{v}} v ON n.ref = v.ref WHERE {_near('distancia', 's', 'n.ref')} AND length(n.ref) >= 4
               UNION ALL
-              SELECT u.s, v.ref, 3 AS ordem, peso FROM {{u}} u JOIN {{v}} v ON left(u.s, 3) = left(v.ref, 3) AND startswith(v.ref, u.s)
+              SELECT u.s, v.ref, 3 AS ordem, peso FROM {{u}} u JOIN ({_prefixes('{v}')}) v ON u.s = v.inicio
             ) GROUP BY s
             """,
             near=near,
@@ -138,7 +143,7 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
     rest = spark.sql("SELECT s FROM {m} LEFT ANTI JOIN {l} USING (s)", m=missed, l=likened)
     close_names = pigeonhole(spark, spark.sql("SELECT s FROM {r} WHERE length(s) >= 4", r=rest), names, 2)
     personal = stage(
-        spark.sql(f"SELECT DISTINCT s FROM {{n}} WHERE {_near('distancia', 's', 'ref')} UNION SELECT s FROM {{u}} JOIN {{names}} ON left(s, 3) = left(ref, 3) AND startswith(ref, s)", n=close_names, u=rest, names=names),
+        spark.sql(f"SELECT DISTINCT s FROM {{n}} WHERE {_near('distancia', 's', 'ref')} UNION SELECT s FROM {{u}} JOIN ({_prefixes('{names}')}) ON s = inicio", n=close_names, u=rest, names=names),
         "p4-nomes",
     )
     # the word of each typed word: itself, its correction, or null where it says nothing about the entry
@@ -187,8 +192,7 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
     signed = stage(
         spark.sql(
             f"""
-            SELECT cargo_autor, normalizado, linhas, {signature.format('palavra')} AS sinal, {signature.format('CASE WHEN conhecida THEN palavra END')} AS nucleo,
-                   {signature.format("CASE WHEN conhecida AND palavra <> 'VEREADOR' THEN palavra END")} AS sem_honra
+            SELECT cargo_autor, normalizado, linhas, {signature.format('palavra')} AS sinal, {signature.format('CASE WHEN conhecida THEN palavra END')} AS nucleo
             FROM (SELECT cargo_autor, normalizado, linhas, explode_outer(palavras) AS s FROM {{t}}) LEFT JOIN {{m}} USING (s)
             GROUP BY cargo_autor, normalizado, linhas
             """,
@@ -197,6 +201,30 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
         ),
         "p4-sinais",
     )
+    # a word is an honour where the normalised titles that aren't entries themselves mostly mean the entry without it
+    honours = spark.sql(
+        """
+        SELECT palavra FROM (
+          SELECT palavra, e.id_cargo <=> o.id_cargo AS igual FROM (
+            SELECT normalizado, palavra, array_join(array_except(palavras, array(palavra)), ' ') AS resto
+            FROM (SELECT DISTINCT nucleo, normalizado, split(nucleo, ' ') AS palavras FROM {s} LEFT ANTI JOIN {o} ON nucleo = ref WHERE normalizado IS NOT NULL AND nucleo <> '')
+            LATERAL VIEW explode(palavras) AS palavra
+          ) JOIN {o} o ON resto = o.ref LEFT JOIN {e} e ON normalizado = e.cargo
+        ) GROUP BY palavra HAVING 2 * count_if(igual) > count(*)
+        """,
+        s=signed,
+        o=own,
+        e=entries,
+    )
+    plain = spark.sql(
+        """
+        SELECT nucleo, array_join(array_sort(collect_list(CASE WHEN h.palavra IS NULL THEN n.palavra END)), ' ') AS sem_honra
+        FROM (SELECT nucleo, explode(split(nucleo, ' ')) AS palavra FROM (SELECT DISTINCT nucleo FROM {s} WHERE nucleo <> '')) n LEFT JOIN {h} h ON n.palavra = h.palavra
+        GROUP BY nucleo
+        """,
+        s=signed,
+        h=honours,
+    )
     # reference titles: the entries, and spellings on whose entry their normalised rows agree (0: agreed to be none)
     taught = spark.sql(
         """
@@ -217,7 +245,7 @@ def map_titles(spark: SparkSession, norma_autor: DataFrame, cargos: DataFrame, a
         ),
         "p4-referencias",
     )
-    open_ = stage(spark.sql("SELECT DISTINCT cargo_autor, sinal, nucleo, sem_honra FROM {s}", s=signed), "p4-abertos")
+    open_ = stage(spark.sql("SELECT DISTINCT cargo_autor, sinal, nucleo, sem_honra FROM {s} LEFT JOIN {p} USING (nucleo)", s=signed, p=plain), "p4-abertos")
     left = spark.sql("SELECT DISTINCT sinal AS s FROM {o} LEFT ANTI JOIN {r} ON sinal = ref WHERE length(sinal) >= 4", o=open_, r=references)
     close = spark.sql(
         f"""
