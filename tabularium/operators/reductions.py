@@ -8,12 +8,16 @@ ties fall to the term (or the earlier sentence) whatever the order of summation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import sentences, tokens
 from tabularium.operators import stats
+from tabularium.session import stage
 
 DIGITS = 6
 
@@ -28,11 +32,15 @@ def _top_terms(scored: DataFrame, k: int) -> DataFrame:
     return scored.groupBy("id").agg(order.alias("a")).select("id", F.array_join(F.transform(F.slice("a", 1, k), lambda x: x["termo"]), " ").alias("texto"))
 
 
-def _best_sentence(docs: DataFrame, scores: DataFrame, factor: Column | None = None) -> DataFrame:
-    """(id, texto): the sentence of highest score (id, frase, score), the earliest of equal ones."""
+def _best_sentence(docs: DataFrame, scores: DataFrame, factor: Column | None = None, m: int = 1) -> DataFrame:
+    """(id, texto): the m sentences of highest score (id, frase, score), the earlier of equal ones, in their order in the text."""
     split = docs.select("id", F.posexplode(sentences(F.col("texto"))).alias("frase", "s")).join(scores, ["id", "frase"], "left")
     score = F.round(F.coalesce("score", F.lit(0.0)) * (factor if factor is not None else F.lit(1.0)), DIGITS)
-    return split.groupBy("id").agg(F.min_by("s", F.struct(-score, "frase")).alias("texto"))
+    if m == 1:
+        return split.groupBy("id").agg(F.min_by("s", F.struct(-score, "frase")).alias("texto"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-score).alias("m"), "frase", "s"))), 1, m)
+    in_order = F.array_sort(F.transform(best, lambda x: F.struct(x["frase"].alias("frase"), x["s"].alias("s"))))
+    return split.groupBy("id").agg(in_order.alias("a")).select("id", F.array_join(F.transform("a", lambda x: x["s"]), " ").alias("texto"))
 
 
 def _weighted(docs: DataFrame, n: int) -> DataFrame:
@@ -51,20 +59,30 @@ def tfidf_topk(docs: DataFrame, k: int = 7, stopwords: bool = False) -> DataFram
     return _complete(docs, _top_terms(scored, k))
 
 
-def extractive_summary(docs: DataFrame) -> DataFrame:
-    """The sentence of highest summed IDF over the root of its token count."""
+def extractive_summary(docs: DataFrame, m: int = 1) -> DataFrame:
+    """The m sentences of highest summed IDF over the root of their token count."""
     scores = _weighted(docs, docs.count()).groupBy("id", "frase").agg((F.sum("w") / F.sqrt(F.sum("c"))).alias("score"))
-    return _best_sentence(docs, scores)
+    return _best_sentence(docs, scores, m=m)
 
 
-def position_summary(docs: DataFrame) -> DataFrame:
+def position_summary(docs: DataFrame, m: int = 1) -> DataFrame:
     """As the extractive summary, with weight 1 + 1/(position + 1) for early sentences."""
     scores = _weighted(docs, docs.count()).groupBy("id", "frase").agg((F.sum("w") / F.sqrt(F.sum("c"))).alias("score"))
-    return _best_sentence(docs, scores, 1.0 + 1.0 / (F.col("frase") + 1.0))
+    return _best_sentence(docs, scores, 1.0 + 1.0 / (F.col("frase") + 1.0), m)
+
+
+def mmr_summary(docs: DataFrame, relevance: float = 0.65, m: int = 1) -> DataFrame:
+    """The m sentences of maximal marginal relevance, in their order in the text.
 
+    The first one is the one most like the whole document; for it alone no sentences are compared with each other.
+    """
+    if m > 1:
 
-def mmr_summary(docs: DataFrame, relevance: float = 0.65) -> DataFrame:
-    """The first sentence of maximal marginal relevance: the one most like the whole document."""
+        @F.pandas_udf("string")
+        def run(texts: pd.Series, parts: pd.Series, terms: pd.Series, idfs: pd.Series) -> pd.Series:
+            return pd.Series([" ".join(s[i] for i in select_mmr([list(x) for x in p], dict(zip(t, i)) if t is not None else {}, m, relevance)) for s, p, t, i in zip(texts, parts, terms, idfs)])
+
+        return _with_parts(docs).select("id", run("frases", "partes", "termos", "idfs").alias("texto"))
     w = _weighted(docs, docs.count())
     whole = w.groupBy("id", "termo").agg(F.sum("w").alias("v"))
     length = whole.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nd"))
@@ -72,14 +90,14 @@ def mmr_summary(docs: DataFrame, relevance: float = 0.65) -> DataFrame:
     return _best_sentence(docs, sims.select("id", "frase", (relevance * F.col("p") / (F.col("ns") * F.col("nd"))).alias("score")))
 
 
-def centrality_summary(docs: DataFrame) -> DataFrame:
-    """The sentence of highest summed cosine to the others, as one product with the sum of all unit sentences."""
+def centrality_summary(docs: DataFrame, m: int = 1) -> DataFrame:
+    """The m sentences of highest summed cosine to the others, as one product with the sum of all unit sentences."""
     w = _weighted(docs, docs.count())
     norms = w.groupBy("id", "frase").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ns"))
     u = w.join(norms, ["id", "frase"]).select("id", "frase", "termo", (F.col("w") / F.col("ns")).alias("u"))
     total = u.groupBy("id", "termo").agg(F.sum("u").alias("t"))
     scores = u.join(total, ["id", "termo"]).groupBy("id", "frase").agg((F.sum(F.col("u") * F.col("t")) - 1.0).alias("score"))
-    return _best_sentence(docs, scores)
+    return _best_sentence(docs, scores, m=m)
 
 
 def feature_selection(docs: DataFrame, min_df: int = 2, most: int = 8) -> DataFrame:
@@ -183,6 +201,98 @@ def cluster_sentences(texts: list[str], parts: list[list[str]], idf: dict[str, f
     return " ".join(texts[i] for i in sorted(chosen))
 
 
+def _weights(parts: list[list[str]], idf: dict[str, float]) -> list[dict[str, float]]:
+    """The summed IDF of each term of each sentence."""
+    out = []
+    for p in parts:
+        own: dict[str, float] = {}
+        for w in p:
+            own[w] = own.get(w, 0.0) + idf[w]
+        out.append(own)
+    return out
+
+
+def _cosine(a: dict[str, float], b: dict[str, float]) -> float:
+    size = sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+    if size <= 0:
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    return sum(x * b[w] for w, x in a.items() if w in b) / size**0.5
+
+
+def _total(vectors: list[dict[str, float]]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for v in vectors:
+        for w, x in v.items():
+            out[w] = out.get(w, 0.0) + x
+    return out
+
+
+def select_mmr(parts: list[list[str]], idf: dict[str, float], m: int = 1, relevance: float = 0.65) -> list[int]:
+    """The places of the m sentences of maximal marginal relevance: like the document, unlike those already chosen; ties go to the earlier."""
+    vectors = _weights(parts, idf)
+    whole = _total(vectors)
+    like = [_cosine(v, whole) for v in vectors]
+    near = [0.0] * len(parts)
+    chosen: list[int] = []
+    while len(chosen) < min(m, len(parts)):
+        scores = [-round(relevance * like[i] - (1 - relevance) * near[i], DIGITS) for i in range(len(parts))]
+        best = min((i for i in range(len(parts)) if i not in chosen), key=lambda i: (scores[i], i))
+        chosen.append(best)
+        near = [max(x, _cosine(v, vectors[best])) for x, v in zip(near, vectors)]
+    return sorted(chosen)
+
+
+def _top(scores: dict[str, float], k: int) -> str:
+    return " ".join(w for w, _ in sorted(scores.items(), key=lambda x: (-round(x[1], DIGITS), x[0]))[:k])
+
+
+def _ranked(texts: list[str], scores: list[float], m: int) -> str:
+    best = sorted(range(len(texts)), key=lambda i: (-round(scores[i], DIGITS), i))[:m]
+    return " ".join(texts[i] for i in sorted(best))
+
+
+def reduce_document(texts: list[str], parts: list[list[str]], words: list[str], every: list[str], known: dict[str, tuple], unseen: float, k: int = 7, m: int = 1, most: int = 8) -> dict[str, str]:
+    """The twelve reductions of one document.
+
+    texts are its sentences, parts their tokens, words its tokens, every those with stop words; known gives the
+    statistics (df, idf, chi2, mi) of each of its tokens, unseen the IDF of stop words.
+    """
+    idf = {w: x[1] for w, x in known.items()}
+    vectors = _weights(parts, idf)
+    heavy = [sum(v.values()) / len(p) ** 0.5 if p else 0.0 for v, p in zip(vectors, parts)]
+    units = []
+    for v in vectors:
+        size = sum(x * x for x in v.values()) ** 0.5
+        units.append({w: x / size for w, x in v.items()} if size else {})
+    summed = _total(units)
+    central = [sum(x * summed[w] for w, x in u.items()) - 1.0 if u else 0.0 for u in units]
+    order = list(dict.fromkeys(words))
+    shared = [w for w in order if known[w][0] >= 2]
+
+    def frequency(tokens: list[str]) -> dict[str, float]:
+        counts: dict[str, int] = {}
+        for w in tokens:
+            counts[w] = counts.get(w, 0) + 1
+        return {w: c / len(tokens) * idf.get(w, unseen) for w, c in counts.items()}
+
+    return {
+        "stopwords_tfidf_topk": _top(frequency(words), k),
+        "tfidf_topk": _top(frequency(every), k),
+        "resumo_extrativo_tfidf": _ranked(texts, heavy, m),
+        "textrank": " ".join(rank_terms(words, k)),
+        "tfidf_posicao_sentenca": _ranked(texts, [s * (1 + 1 / (i + 1)) for i, s in enumerate(heavy)], m),
+        "tfidf_mmr": " ".join(texts[i] for i in select_mmr(parts, idf, m)),
+        "tfidf_similaridade_frases": _ranked(texts, central, m),
+        "svd_lsa": " ".join(latent_terms(parts, idf, k)),
+        "tfidf_feature_selection": " ".join((shared or order)[:most]),
+        "chi_square_termos": _top({w: known[w][2] for w in order}, k),
+        "mutual_information": _top({w: known[w][3] for w in order}, k),
+        "clustering_sentencas": cluster_sentences(texts, parts, idf),
+    }
+
+
 def textrank(docs: DataFrame, k: int = 7, window: int = 3) -> DataFrame:
     """TextRank terms of each document; the graph never leaves its document."""
 
@@ -239,9 +349,34 @@ STRATEGIES = {
 }
 
 
-def all_reductions(docs: DataFrame) -> DataFrame:
-    """(id, one column per reduction): the pipeline over all documents, joined by id."""
-    out = docs.select("id")
-    for name, reduce in STRATEGIES.items():
-        out = out.join(reduce(docs).withColumnRenamed("texto", name), "id", "left")
-    return out
+def all_reductions(docs: DataFrame, k: int = 7, m: int = 1) -> DataFrame:
+    """(id, one column per reduction) of every document, in one pass.
+
+    Documents are stored once and split into words once; the statistics of all terms are one table, joined with the
+    distinct terms of each document once; a document's reductions are then made together, in Arrow batches.
+    """
+    docs = stage(docs.select("id", "texto", "classe"), "resumos")
+    n = docs.count()
+    each = docs.select("id", F.explode(F.array_distinct(tokens(F.col("texto")))).alias("termo"))
+    facts = stats.join_terms(each, stats.with_idf(stats.class_scores(docs, n), n), n)
+    known = facts.groupBy("id").agg(F.collect_list(F.struct("termo", "df", "idf", "chi2", "mi")).alias("fatos"))
+    parts = F.transform(sentences(F.col("texto")), lambda s: tokens(s))
+    text = F.struct(sentences(F.col("texto")).alias("frases"), parts.alias("partes"), tokens(F.col("texto")).alias("palavras"), tokens(F.col("texto"), True).alias("todas"))
+    return _apply(docs.select("id", text.alias("t")).join(known, "id", "left"), stats.unseen_idf(n), k, m)
+
+
+def _apply(rows: DataFrame, unseen: float, k: int, m: int) -> DataFrame:
+    """The reductions of rows (id, t: sentences and words, fatos: the statistics of its terms)."""
+    schema = rows.select("id").schema
+    for c in STRATEGIES:
+        schema = schema.add(c, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = {x["termo"]: (x["df"], x["idf"], x["chi2"], x["mi"]) for x in f or []}
+                made.append(reduce_document(t["frases"], t["partes"], t["palavras"], t["todas"], own, unseen, k, m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in made], pa.string()) for c in STRATEGIES]], names=["id", *STRATEGIES])
+
+    return rows.select("id", "t", "fatos").mapInArrow(run, schema)

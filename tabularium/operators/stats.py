@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import sentences, tokens
@@ -41,23 +41,26 @@ def unseen_idf(n: int) -> float:
 def class_scores(docs: DataFrame, n: int) -> DataFrame:
     """(termo, df, chi2, mi): the maxima over the classes, at least 0.
 
-    Classes a term never occurs in count for chi-square too: each term is expanded over the list of classes
-    (one small row of class sizes), not joined with the documents.
+    Classes a term never occurs in count for chi-square too. There its value grows with the size of the class, so only
+    the largest of them matters: the first rank, by size, that the classes of the term leave out.
     """
-    sizes = [(r["classe"], r["count"]) for r in docs.groupBy("classe").count().collect()]  # one row per class
-    terms = doc_terms(docs)
-    per_class = terms.groupBy("termo", "classe").agg(F.count("*").alias("a"))
-    maps = per_class.groupBy("termo").agg(F.map_from_entries(F.collect_list(F.struct("classe", "a"))).alias("m"), F.sum("a").alias("df"))
-    chi, mi = [], []
-    for c, size in sizes:
-        a = F.coalesce(F.col("m")[c], F.lit(0)).cast("double")
-        df = F.col("df").cast("double")
-        b, cc, d = df - a, size - a, n - df - size + a
-        den = (a + b) * (a + cc) * (b + d) * (cc + d)
-        chi.append(F.when(den != 0, n * F.pow(a * d - b * cc, 2) / den).otherwise(0.0))
-        mi.append(F.when(a > 0, a / n * F.log2(a / n / (df / n * (size / n)))).otherwise(0.0))
-    top = lambda xs: F.greatest(F.lit(0.0), *xs) if xs else F.lit(0.0)
-    return maps.select("termo", "df", top(chi).alias("chi2"), top(mi).alias("mi"))
+    sizes = docs.groupBy("classe").agg(F.count("*").cast("double").alias("cs"))
+    ranked = stage(sizes.withColumn("posto", F.row_number().over(Window.orderBy(F.col("cs").desc(), "classe"))), "classes")  # one row per class
+    per_class = doc_terms(docs).groupBy("termo", "classe").agg(F.count("*").cast("double").alias("a")).join(small(ranked), "classe")
+    terms = per_class.withColumn("df", F.sum("a").over(Window.partitionBy("termo")))
+    a, t, cs = F.col("a"), F.col("df"), F.col("cs")
+    b, c, d = t - a, cs - a, n - t - cs + a
+    den = t * cs * (b + d) * (c + d)
+    chi = F.when(den != 0, n * F.pow(a * d - b * c, 2) / den).otherwise(0.0)
+    info = a / n * F.log2(a / n / (t / n * (cs / n)))
+    best = terms.groupBy("termo").agg(F.first("df").alias("df"), F.max(chi).alias("chi"), F.max(info).alias("mi"), F.array_sort(F.collect_set("posto")).alias("postos"))
+    gap = F.transform("postos", lambda p, i: F.when(p != i + 1, i + 1))
+    missing = best.withColumn("posto", F.coalesce(F.array_min(F.filter(gap, lambda g: g.isNotNull())), F.size("postos") + 1))
+    largest = missing.join(small(ranked.select("posto", F.col("cs").alias("fora"))), "posto", "left")
+    away = F.col("fora")
+    rest = (n - away) * (n - t)
+    absent = F.when(away.isNotNull() & (rest != 0), n * t * away / rest).otherwise(0.0)
+    return largest.select("termo", F.col("df").cast("bigint").alias("df"), F.greatest(F.lit(0.0), "chi", absent).alias("chi2"), F.greatest(F.lit(0.0), "mi").alias("mi"))
 
 
 def join_terms(pairs: DataFrame, stats: DataFrame, n: int, how: str = "left") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.text import normalize_name
+from tabularium.session import stage
+
 
 def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: the one of greatest order (ties: the greatest row). Null keys are kept as a key."""
@@ -29,22 +32,42 @@ def update_columns(target: DataFrame, source: DataFrame, keys: list[str], column
 def get_or_create(dimension: DataFrame, names: DataFrame, key: str = "id", name: str = "nome") -> DataFrame:
     """dimension with the missing names added: ids follow the greatest one in the order of the names.
 
-    Numbering is by partition: a range partitioning by name, row numbers within, and offsets from the counts of the
-    partitions, so that no task sorts all new names. Null names are left out.
+    The new names are range-partitioned and stored once, each with its partition. Row numbers within the partitions and
+    offsets from their counts come from that one table, so that ids are distinct and consecutive, and no task sorts all
+    new names. Null names are left out.
     """
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0)).alias("t")).first()["t"]
     fresh = names.select(name).filter(F.col(name).isNotNull()).distinct().join(dimension.select(name), name, "left_anti")
-    spread = fresh.repartitionByRange(8, name).withColumn("p", F.spark_partition_id())
-    counts = {r["p"]: r["count"] for r in spread.groupBy("p").count().collect()}
-    offsets, total = [], 0
-    for p in range(8):
-        offsets += [F.lit(p), F.lit(total)]
-        total += counts.get(p, 0)
-    numbered = spread.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy(name)))
-    ids = (F.lit(top) + F.create_map(*offsets)[F.col("p")] + F.col("n")).cast(dimension.schema[key].dataType)
+    spread = stage(fresh.repartitionByRange(name).withColumn("__p", F.spark_partition_id()), "nomes-novos")
+    counts = sorted((r["__p"], r["count"]) for r in spread.groupBy("__p").count().collect())  # one row per partition
+    before, offsets = top, []
+    for p, n in counts:
+        offsets.append((p, before))
+        before += n
+    start = F.broadcast(spread.sparkSession.createDataFrame(offsets, "__p int, __antes bigint"))
+    numbered = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(name))).join(start, "__p")
+    ids = (F.col("__antes") + F.col("__n")).cast(dimension.schema[key].dataType)
     return dimension.select(key, name).unionByName(numbered.select(ids.alias(key), name))
 
 
+def key_or_default(dimension: DataFrame, names: DataFrame, default: int = 1, key: str = "id", name: str = "nome") -> DataFrame:
+    """(name, key) of each row of names: its id in dimension (the lowest of equal names), the default where it has none or is null."""
+    known = dimension.groupBy(name).agg(F.min(key).alias(key))
+    return names.select(name).join(known, name, "left").select(name, F.coalesce(key, F.lit(default)).alias(key))
+
+
+def upsert_links(links: DataFrame, source: DataFrame) -> DataFrame:
+    """links (id_norma, id_autor, cargo_autor, cargo_autor_normalizado, ativo) with those of source (id_norma, id_autor, cargo_autor).
+
+    A known pair takes the new title and keeps its normalised title and flag; a new pair is active. Titles are stored
+    in upper case with single blanks. Of several titles for a pair the greatest counts; null keys are left out.
+    """
+    keys = ["id_norma", "id_autor"]
+    new = source.filter(F.col("id_norma").isNotNull() & F.col("id_autor").isNotNull()).groupBy(*keys).agg(F.max(normalize_name(F.col("cargo_autor"))).alias("cargo_autor"))
+    merged = update_columns(links, new, keys, ["cargo_autor"])
+    return merged.withColumn("ativo", F.coalesce("ativo", F.lit(1)).cast(links.schema["ativo"].dataType)) if "ativo" in links.columns else merged
+
+
 def update_by_map(target: DataFrame, mapping: DataFrame, on: str, column: str) -> DataFrame:
     """column becomes the mapping's value (on, valor) where it has one; null keys and values change nothing."""
     m = mapping.filter(F.col(on).isNotNull() & F.col("valor").isNotNull()).groupBy(on).agg(F.max("valor").alias("valor"))
@@ -64,12 +87,42 @@ def add_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Store df at path in one commit; df may read from path: it is written beside it first and then swapped in."""
+    """Store df at path; df may read from path. An error leaves the old table in place.
+
+    The new table is written beside it; then the old one is moved away, the new one moved in and the old one deleted.
+    A crash between the two moves leaves both tables, as ``path.old`` and ``path.new``: ``recover`` puts one back.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, at, old = _paths(spark, path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    recover(spark, path)
     df.write.mode("overwrite").parquet(path + ".new")
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    moved = fs.exists(at)
+    if moved and not fs.rename(at, old):
+        raise OSError(f"can't move {path} away")
+    if not fs.rename(new, at):
+        if moved:
+            fs.rename(old, at)
+        raise OSError(f"can't move {path}.new to its place")
     fs.delete(old, True)
-    fs.rename(new, old)
     spark.catalog.refreshByPath(path)
+
+
+def _paths(spark: SparkSession, path: str) -> list:
+    return [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", "", ".old")]
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put the old table back if a crash left none at path."""
+    _, at, old = _paths(spark, path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        elif not fs.rename(old, at):
+            raise OSError(f"can't put {path} back")
+
+
+def delete_all(spark: SparkSession, path: str) -> None:
+    """Leave a stored table empty, with its columns."""
+    overwrite(spark.read.parquet(path).limit(0), path)

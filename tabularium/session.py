@@ -6,6 +6,7 @@ Lineage is cut only by ``stage`` (a Parquet table in the shared folder that the
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,10 +47,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The folder of this application under the shared one; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    at = f"{shared_dir(spark)}/tabularium-{sc.applicationId}"
+    if getattr(sc, "_tabularium_dir", None) != at:
+        sc._tabularium_dir = at
+
+        def clean() -> None:
+            try:
+                _delete(spark, at)
+            except Exception:  # the session has ended before: nothing is left to delete with
+                pass
+
+        atexit.register(clean)
+    return at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -84,8 +108,5 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
 def unstage(df: DataFrame) -> None:
     """Delete a table that ``stage`` wrote, once nothing reads it any more."""
     path = getattr(df, "_staged_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
