@@ -48,9 +48,13 @@ def tokens(text: Column, stopwords: bool = False) -> Column:
     return F.filter(parts, lambda t: (F.length(t) > 1) if stopwords else (F.length(t) > 1) & ~is_stopword(t))
 
 
+#: Fixed value: where sentences end.
+SENTENCE_END = "(?<=[.!?\\n;])\\s+|(?<=\\s-\\s)|(?<=\\s–\\s)"
+
+
 def sentences(text: Column) -> Column:
     """Trimmed sentences: split after . ! ? ; or a line end with blanks, and after a dash between blanks."""
-    parts = F.split(F.trim(text), "(?<=[.!?\\n;])\\s+|(?<=\\s-\\s)|(?<=\\s–\\s)")
+    parts = F.split(F.trim(text), SENTENCE_END)
     return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
 
 

@@ -18,6 +18,8 @@ from tabularium.functions.vectors import unit
 
 #: The multiplier of the 32-bit hash, its seeds for terms, and the seed for letter trigrams.
 MULTIPLIER, TERM_SEEDS, GRAM_SEED = 0x5BD1E995, (0x9747B28C, 0x1B873593, 0x5BD1E995), 0x27D4EB2D
+#: The weights of a term's three places, of its trigrams within the third, and of long terms.
+TERM_WEIGHTS, GRAM_WEIGHT, LONG_WEIGHT = (1.0, 0.85, 0.35), 0.35, 1.25
 _MASK = 0xFFFFFFFF
 
 
@@ -45,14 +47,14 @@ def embed(words: list[str], dim: int = 128) -> list[float]:
         counts[w] = counts.get(w, 0) + 1
     v = np.zeros(dim)
     for term, n in counts.items():
-        weight = (1.0 + math.log(n)) * (1.25 if len(term) >= 5 else 1.0)
-        for seed, scale in zip(TERM_SEEDS, (1.0, 0.85, 0.35)):
+        weight = (1.0 + math.log(n)) * (LONG_WEIGHT if len(term) >= 5 else 1.0)
+        for seed, scale in zip(TERM_SEEDS, TERM_WEIGHTS):
             h = hash32(term, seed)
             v[h % dim] += weight * scale * (-1 if h & 1 else 1)
         if len(term) >= 4 and "_" not in term:
             for i in range(len(term) - 2):
                 h = hash32(term[i : i + 3], GRAM_SEED)
-                v[h % dim] += weight * 0.1225 * (-1 if h & 1 else 1)
+                v[h % dim] += weight * TERM_WEIGHTS[2] * GRAM_WEIGHT * (-1 if h & 1 else 1)
     size = float(np.sqrt(v @ v))
     return (v / size if size > 1e-12 else v).tolist()
 
@@ -103,10 +105,34 @@ class Lcg:
 
 
 def _unit_rows(column: pa.Array, dim: int) -> np.ndarray:
-    v = np.array(column.to_pylist(), dtype=float).reshape(-1, dim)
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def recentre(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the unit vectors nearest to each centroid, their numbers) of vectors (vetor: array<double>) of one length without nulls."""
+    k, dim = centroids.shape
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((k, dim)), np.zeros(k, np.int64)
+        for batch in batches:
+            v = _unit_rows(batch.column(0), dim)
+            own = (v @ centroids.T).argmax(axis=1)
+            hot = np.zeros((len(v), k))
+            hot[np.arange(len(v)), own] = 1
+            sums += hot.T @ v
+            counts += np.bincount(own, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(counts), pa.array(list(sums), pa.list_(pa.float64()))], names=["k", "n", "soma"])
+
+    parts = vectors.select("vetor").mapInArrow(partial, "k int, n bigint, soma array<double>")
+    # one row per cluster: element sums over the tasks
+    summed = parts.select("k", "n", F.posexplode("soma").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    new, sizes = np.zeros((k, dim)), np.zeros(k)
+    for r in summed.collect():  # k x dim numbers
+        new[r["k"], r["i"]], sizes[r["k"]] = r["v"], r["n"]
+    return new, sizes
+
+
 def pick(ordered: DataFrame, dim: int, draw: Callable[[float, int], tuple[float, bool]], chosen: np.ndarray | None) -> np.ndarray:
     """A row of ordered (id, vetor), by cumulative weight in its order: 1 each, or with chosen the squared distance to the nearest of them.
 
@@ -162,14 +188,14 @@ def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42) -
     """
     if k < 1:
         raise ValueError("k must be positive")
-    vectors = vectors.filter(F.col("vetor").isNotNull()).select("id", F.col("vetor").cast("array<double>").alias("vetor"))
+    vectors = vectors.filter(F.col("vetor").isNotNull()).select("id", F.transform("vetor", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("vetor"))
     shape = vectors.agg(F.count("*").alias("n"), F.min(F.size("vetor")).alias("a"), F.max(F.size("vetor")).alias("b")).first()
     if not shape["n"]:
         return np.zeros((0, 0))
     if shape["a"] != shape["b"]:
         raise ValueError("vectors of different lengths")
     dim, k = shape["a"], min(k, shape["n"])
-    vectors = vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor").persist()
+    vectors = vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor").persist()  # kept in order, read every round
     dice = Lcg(seed)
     evenly = lambda d: lambda total, n: (d.integer(n) + 1, True)
     far = lambda total, n: (dice.real() * total, False) if total > 0 else (dice.integer(n) + 1, True)
@@ -179,22 +205,7 @@ def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42) -
     dice = Lcg(seed + 1)
 
     for _ in range(rounds):
-
-        def partial(batches: Iterator[pa.RecordBatch], c=centroids) -> Iterator[pa.RecordBatch]:
-            sums, counts = np.zeros((k, dim)), np.zeros(k, np.int64)
-            for batch in batches:
-                v = _unit_rows(batch.column(0), dim)
-                own = (v @ c.T).argmax(axis=1)
-                np.add.at(sums, own, v)
-                counts += np.bincount(own, minlength=k)
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(counts), pa.array(list(sums), pa.list_(pa.float64()))], names=["k", "n", "soma"])
-
-        parts = vectors.select("vetor").mapInArrow(partial, "k int, n bigint, soma array<double>")
-        # one row per cluster: element sums over the tasks
-        summed = parts.select("k", "n", F.posexplode("soma").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-        new, sizes = np.zeros((k, dim)), np.zeros(k)
-        for r in summed.collect():  # k x dim numbers
-            new[r["k"], r["i"]], sizes[r["k"]] = r["v"], r["n"]
+        new, sizes = recentre(vectors, centroids)
         for j in np.flatnonzero(sizes == 0):
             new[j] = pick(vectors, dim, evenly(dice), None)
         new = new / np.maximum(np.sqrt((new * new).sum(axis=1, keepdims=True)), 1e-12)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.session import small, stage
+
 #: Legal words that never name a topic.
 TOPIC_STOPWORDS = (
     "dispõe dispoe altera dá da providências providencias outras "
@@ -92,59 +96,85 @@ def matrix(docs: DataFrame, min_df: int = 4, max_share: float = 0.22) -> DataFra
     return cells.select("id", "termo", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy("id")))).alias("peso"))
 
 
-def factorize(cells: DataFrame, k: int = 12, rounds: int = 25, inner: int = 4, seed: int = 42, max_terms: int = 100_000) -> tuple[list[str], np.ndarray]:
+def numbered(cells: DataFrame, most: int = 2_000_000) -> tuple[list[str], DataFrame]:
+    """(the terms of cells in order, staged rows (id, c: their (t, p) by number of term)).
+
+    H is held whole, so more than ``most`` terms are an error: the bounds of ``vocabulary`` keep their number down.
+    """
+    n = cells.select("termo").distinct().count()
+    if n > most:
+        raise ValueError(f"{n} terms: raise min_df of the matrix")
+    order = stage(cells.select("termo").distinct().withColumn("t", F.row_number().over(Window.orderBy("termo")) - 1), "termos-numerados")
+    terms = [r["termo"] for r in order.orderBy("t").collect()]
+    rows = cells.join(small(order), "termo").groupBy("id").agg(F.collect_list(F.struct("t", "peso")).alias("c"))
+    return terms, stage(rows, "celulas")
+
+
+def _groups(column: pa.Array, cells: int = 100_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end, terms, weights, lengths) of whole rows of a column of (t, peso) lists, some ``cells`` at a time."""
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    flat = column.flatten()
+    terms, weights = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    first = 0
+    while first < len(ends):
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + cells, "right")))
+        yield first, last, terms[begin : ends[last - 1]], weights[begin : ends[last - 1]], np.diff(ends[first:last], prepend=begin)
+        first = last
+
+
+def _solved(terms: np.ndarray, weights: np.ndarray, lengths: np.ndarray, columns: np.ndarray, hh: np.ndarray, rounds: int) -> np.ndarray:
+    """W of some documents by multiplicative updates; a document without cells has no row here."""
+    num = np.add.reduceat(columns[terms] * weights[:, None], np.cumsum(lengths) - lengths)
+    w = np.full((len(lengths), columns.shape[1]), 0.5)
+    for _ in range(rounds):
+        w = w * num / (w @ hh + 1e-9)
+    return w
+
+
+def factorize(cells: DataFrame, k: int = 12, rounds: int = 25, inner: int = 4, seed: int = 42) -> tuple[list[str], np.ndarray]:
     """(terms, H) of the factorisation of cells (id, termo, peso) by multiplicative updates.
 
-    Tasks solve W for their documents and give one partial of W'X and W'W; only those sums and H are gathered. H has
-    k rows and one column per term, ``max_terms`` of the commonest at most. No cells give no terms.
+    Tasks solve W for their documents and give one partial of W'X and W'W each, an array per topic; the arrays are
+    summed in two levels. Only those sums are gathered. H has k rows and one column per term. No cells give no terms.
     """
-    terms = sorted(r["termo"] for r in cells.groupBy("termo").count().orderBy(F.col("count").desc(), "termo").limit(max_terms).collect())
-    at = {t: i for i, t in enumerate(terms)}
-    if not terms:
-        return [], np.zeros((k, 0))
+    terms, rows = numbered(cells)
+    return terms, factors(rows, len(terms), k, rounds, inner, seed)
+
+
+def factors(rows: DataFrame, size: int, k: int = 12, rounds: int = 25, inner: int = 4, seed: int = 42) -> np.ndarray:
+    """H of the factorisation of numbered rows with so many terms."""
+    if not size:
+        return np.zeros((k, 0))
+    h = np.random.default_rng(seed).uniform(0.01, 1.0, (k, size))
+    sums = "k int, grupo int, s array<double>"
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "grupo": [pdf["grupo"].iloc[0]], "s": [np.sum(np.stack(pdf["s"].to_list()), axis=0)]})
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [[(at[w], p) for w, p in zip(*r) if w in at] for r in zip(*(c.to_pylist() for c in batch.columns))]
-            pairs = [r for r in pairs if r]
-            yield pa.RecordBatch.from_arrays([pa.array([[x[n] for x in r] for r in pairs], pa.list_(kind)) for n, kind in enumerate((pa.int32(), pa.float64()))], names=["t", "p"])
-
-    # terms are numbered once, not in every round
-    rows = cells.groupBy("id").agg(F.collect_list("termo").alias("t"), F.collect_list("peso").alias("p")).select("t", "p").mapInArrow(encode, "t array<int>, p array<double>").persist()
-    h = np.random.default_rng(seed).uniform(0.01, 1.0, (k, len(terms)))
-    size = len(terms)
     for _ in range(rounds):
+        shared = rows.sparkSession.sparkContext.broadcast(h)
 
-        def run(batches: Iterator[pa.RecordBatch], h=h) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             wx, ww = np.zeros((k, size)), np.zeros((k, k))
-            hh, columns = h @ h.T, np.ascontiguousarray(h.T)
+            hh, columns = shared.value @ shared.value.T, np.ascontiguousarray(shared.value.T)
             for batch in batches:
-                ends = np.cumsum(batch.column(0).value_lengths().to_numpy())
-                every, weights = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
-                first = 0
-                while first < len(ends):  # whole documents, some 100,000 cells at a time
-                    begin = ends[first - 1] if first else 0
-                    last = max(first + 1, int(np.searchsorted(ends, begin + 100_000, "right")))
-                    idx, val = every[begin : ends[last - 1]], weights[begin : ends[last - 1]]
-                    lengths = np.diff(ends[first:last], prepend=begin)
-                    num = np.add.reduceat(columns[idx] * val[:, None], np.cumsum(lengths) - lengths)
-                    w = np.full((len(lengths), k), 0.5)
-                    for _ in range(inner):
-                        w = w * num / (w @ hh + 1e-9)
+                for _, _, idx, val, lengths in _groups(batch.column(0)):
+                    w = _solved(idx, val, lengths, columns, hh, inner)
                     spread = np.repeat(w, lengths, axis=0) * val[:, None]
                     for j in range(k):
                         wx[j] += np.bincount(idx, spread[:, j], size)
                     ww += w.T @ w
-                    first = last
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(np.hstack([wx, ww])), pa.list_(pa.float64()))], names=["k", "s"])
+            group = TaskContext.get().partitionId() % 16
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([group] * k, pa.int32()), pa.array(list(np.hstack([wx, ww])), pa.list_(pa.float64()))], names=["k", "grupo", "s"])
 
-        parts = rows.mapInArrow(run, "k int, s array<double>").select("k", F.posexplode("s").alias("i", "v")).filter("v <> 0").groupBy("k", "i").agg(F.sum("v").alias("v"))
+        parts = rows.select("c").mapInArrow(run, sums).groupBy("k", "grupo").applyInPandas(add, sums)
         total = np.zeros((k, size + k))
-        for r in parts.collect():  # k x (terms + k) numbers
-            total[r["k"], r["i"]] = r["v"]
+        for r in parts.groupBy("k").applyInPandas(add, sums).collect():  # k rows
+            total[r["k"]] = r["s"]
+        shared.unpersist()
         h = h * total[:, :size] / (total[:, size:] @ h + 1e-9)
-    rows.unpersist()
-    return terms, h
+    return h
 
 
 def topic_terms(terms: list[str], h: np.ndarray, top: int = 8) -> list[list[str]]:
@@ -152,29 +182,27 @@ def topic_terms(terms: list[str], h: np.ndarray, top: int = 8) -> list[list[str]
     return [[terms[i] for i in sorted(range(len(terms)), key=lambda i: (-round(row[i], 9), terms[i]))[:top]] for row in h]
 
 
-def assign_topics(cells: DataFrame, terms: list[str], h: np.ndarray, rounds: int = 20) -> DataFrame:
-    """(id, id_topico, score, termos_chave): the topic of largest weight (the lowest among equals), its share and its five main terms, per document."""
-    at = {t: i for i, t in enumerate(terms)}
-    k = len(h)
+def assign_topics(rows: DataFrame, terms: list[str], h: np.ndarray, rounds: int = 20) -> DataFrame:
+    """(id, id_topico, score, termos_chave) of numbered rows: the topic of largest weight (the lowest among equals), its share and its five main terms."""
     key_terms = [", ".join(t) for t in topic_terms(terms, h, 5)]
+    shared = rows.sparkSession.sparkContext.broadcast(h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh = h @ h.T
+        hh, columns = shared.value @ shared.value.T, np.ascontiguousarray(shared.value.T)
         for batch in batches:
-            ids, best, share = [], [], []
-            for key, words, weights in zip(*(c.to_pylist() for c in batch.columns)):
-                idx = np.array([at[w] for w in words if w in at], int)
-                val = np.array([p for w, p in zip(words, weights) if w in at])
-                w, num = np.full(k, 0.5), h[:, idx] @ val
-                for _ in range(rounds):
-                    w = w * num / (hh @ w + 1e-9)
-                ids.append(key)
-                best.append(int(w.argmax()) + 1)
-                share.append(float(w.max() / w.sum()) if w.sum() > 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best, pa.int32()), pa.array(share, pa.float64()), pa.array([key_terms[b - 1] for b in best], pa.string())], names=["id", "id_topico", "score", "termos_chave"])
-
-    rows = cells.groupBy("id").agg(F.collect_list("termo").alias("t"), F.collect_list("peso").alias("p"))
-    return rows.select(F.col("id").cast("bigint"), "t", "p").mapInArrow(run, "id bigint, id_topico int, score double, termos_chave string")
+            for first, last, idx, val, lengths in _groups(batch.column(1)):
+                w = _solved(idx, val, lengths, columns, hh, rounds)
+                best, sums = w.argmax(axis=1), w.sum(axis=1)
+                share = np.where(sums > 0, w.max(axis=1) / np.where(sums > 0, sums, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(best + 1, pa.int32()), pa.array(share), pa.array([key_terms[b] for b in best], pa.string())], names=["id", "id_topico", "score", "termos_chave"])
+
+    return rows.select(F.col("id").cast("bigint"), "c").mapInArrow(run, "id bigint, id_topico int, score double, termos_chave string")
+
+
+def saved_tokens(docs: DataFrame, words: Column, assumed: int = 32) -> DataFrame:
+    """(documentos, tokens, poupados): the tokens kept of all documents, and how many fewer than ``assumed`` per document they are."""
+    sums = docs.agg(F.count("*").alias("documentos"), F.coalesce(F.sum(F.size(words)), F.lit(0)).alias("tokens"))
+    return sums.withColumn("poupados", F.greatest(F.lit(0).cast("bigint"), F.lit(assumed) * F.col("documentos") - F.col("tokens")))
 
 
 def author_profiles(bridge: DataFrame, norma_topicos: DataFrame, labels: DataFrame, autores: DataFrame, min_normas: int = 5) -> DataFrame:

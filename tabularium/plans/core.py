@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tabularium.functions import text as tx
 from tabularium.functions import vectors as vec
-from tabularium.operators import embeddings, extraction, reductions, stats, topics, upsert
+from tabularium.operators import embeddings, extraction, reductions, services, stats, topics, upsert
 from tabularium.plans import sqltext as q
+from tabularium.session import shared_dir, stage
 from tabularium.sources.tables import table
+from tabularium.streaming.incremental import process_new
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -426,34 +428,86 @@ _HERE = "(?i)normas\\.cidade\\.example/([a-z0-9\\-]+)(?:/(\\d{4}))?(?:/[^/]+)?(?
 )
 def url_parts(spark, d):
     """Slug, year and number of each target address."""
-    slug, year, number = extraction.address_parts(F.col("url_alvo"), _HERE)
+    slug, year, number = extraction.address_parts(F.col("url_alvo"), None)
     return table(spark, d, "norma_relacionamentos").select("id", slug.alias("slug"), year.alias("ano"), number.alias("numero"))
 
 
-@query()
+_EDGES = f"""WITH n AS (SELECT id, arg_max(integra, coletado_em) AS integra, arg_max(tiposlug, coletado_em) AS tiposlug, arg_max(ano, coletado_em) AS ano, arg_max(numero, coletado_em) AS numero FROM normas GROUP BY id),
+p AS (SELECT id, integra, string_split_regex(integra, '(?i)<a\\b') AS l FROM n WHERE integra IS NOT NULL),
+o AS (SELECT id, integra, l[i] AS trecho, CAST(list_sum(list_transform(l[1:i - 1], lambda x: length(x))) + 2 * (i - 2) AS BIGINT) AS pos FROM (SELECT id, integra, l, unnest(range(2, len(l) + 1)) AS i FROM p)),
+f AS (SELECT id, regexp_extract(trecho, '^[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS url, TRY_CAST(nullif(regexp_extract(trecho, '^[^>]*?\\bdata-id\\s*=\\s*["'']?(\\d+)', 1), '') AS BIGINT) AS data_id,
+  trim(regexp_replace(regexp_replace(substr(integra, CAST(greatest(1, pos - 99) AS BIGINT), CAST(least(100, pos) AS BIGINT)), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS trecho_contexto FROM o),
+g AS (SELECT *, {{slug}} AS slug, {{ano}} AS ano, {{numero}} AS numero FROM f WHERE url <> ''),
+k AS (SELECT lower(tiposlug || ':' || ano || ':' || numero) AS chave, max(id) AS id FROM n WHERE tiposlug IS NOT NULL AND ano IS NOT NULL AND numero IS NOT NULL GROUP BY 1)
+SELECT g.id AS id_norma_origem, coalesce(i.id, k.id) AS id_norma_destino, {_CLASS} AS tipo_relacionamento, url AS url_alvo, slug AS tipo_slug_alvo, g.ano AS ano_alvo, g.numero AS numero_alvo, trecho_contexto
+FROM g LEFT JOIN (SELECT DISTINCT id FROM n) i ON i.id = g.data_id LEFT JOIN k ON k.chave = lower(g.slug || ':' || g.ano || ':' || g.numero)"""
+for _name, _part in (("{slug}", "nullif(regexp_extract(url, '{p}', 1), '')"), ("{ano}", "TRY_CAST(nullif(regexp_extract(url, '{p}', 2), '') AS INTEGER)"), ("{numero}", "TRY_CAST(nullif(regexp_extract(url, '{p}', 3), '') AS INTEGER)")):
+    _EDGES = _EDGES.replace(_name, _part.replace("{p}", _HERE))
+
+
+@query(_EDGES)
 def link_edges(spark, d):
     """Citation edges found in the full texts, with their targets resolved."""
     n = _latest(spark, d)
-    return extraction.citation_edges(n, n.select("id", "tiposlug", "ano", "numero"), pattern=_HERE)
+    return extraction.citation_edges(n, n.select("id", "tiposlug", "ano", "numero"), city=None)
 
 
 _TEXT = "replace(" + q.references("regexp_replace(regexp_replace(integra, '(?i)<br\\s*\\\\?\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')") + ", chr(160), ' ')"
 
 
-@query(
-    f"""WITH x AS (SELECT DISTINCT id, regexp_replace({_TEXT}, '[ \\t]+', ' ', 'g') AS t FROM normas WHERE integra IS NOT NULL),
-b AS (SELECT id, 'PREFEITURA DO MUNICÍPIO DE' || string_split(upper(t), 'PREFEITURA DO MUNICÍPIO DE')[-1] AS u, t FROM x WHERE contains(upper(t), 'PREFEITURA DO MUNICÍPIO DE')),
-l AS (SELECT id, list_transform(string_split_regex(substr(t, length(t) - length(u) + 1), '\\r\\n|\\n|\\r'), lambda s: trim(s)) AS l FROM b),
+#: The data's own markers: of several beginnings the last one counts, of several ends the first behind it.
+_STARTS, _ENDS = ("PREFEITURA DO MUNICÍPIO DE", "REVOGAM-SE AS DISPOSIÇÕES EM CONTRÁRIO"), ("PUBLICADO NA DATA SUPRA", "PUBLICADO NA SECRETARIA")
+_BEGIN = "greatest(" + ", ".join(f"CASE WHEN contains(upper(t), '{m}') THEN length(t) - length(string_split(upper(t), '{m}')[-1]) - {len(m)} + 1 ELSE 0 END" for m in _STARTS) + ")"
+_STOP = "least(" + ", ".join(f"nullif(strpos(upper(s), '{m}'), 0)" for m in _ENDS) + ")"
+_SIGNED = f"""x AS (SELECT DISTINCT id, regexp_replace({_TEXT}, '[ \\t]+', ' ', 'g') AS t FROM normas WHERE integra IS NOT NULL),
+b AS (SELECT id, substr(t, b) AS s FROM (SELECT id, t, {_BEGIN} AS b FROM x) WHERE b > 0),
+l AS (SELECT id, list_transform(string_split_regex(coalesce(substr(s, 1, {_STOP} - 1), s), '\\r\\n|\\n|\\r'), lambda s: trim(s)) AS l FROM b),
 e AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM l),
 p AS (SELECT id, CASE WHEN strpos(l[i], ',') <= 1 OR strpos(l[i], ',') = length(l[i]) THEN l[i] ELSE trim(substr(l[i], 1, strpos(l[i], ',') - 1)) END AS nome,
-  CASE WHEN strpos(l[i], ',') <= 1 OR strpos(l[i], ',') = length(l[i]) THEN l[i + 1] ELSE trim(substr(l[i], strpos(l[i], ',') + 1)) END AS cargo FROM e WHERE l[i] <> '')
-SELECT DISTINCT id, nome, cargo FROM p WHERE regexp_full_match(nome, '\\p{{L}}+(?:[ .''-]\\p{{L}}+){{1,9}}') AND length(cargo) <= 120 AND NOT regexp_matches(cargo, '\\d') AND NOT contains(cargo, '<') AND NOT contains(cargo, 'http')
-AND regexp_matches(cargo, '{extraction.TITLE.replace('á', '(?-i:á)')}')"""
-)
+  CASE WHEN strpos(l[i], ',') <= 1 OR strpos(l[i], ',') = length(l[i]) THEN l[i + 1] ELSE trim(substr(l[i], strpos(l[i], ',') + 1)) END AS cargo FROM e WHERE l[i] <> ''),
+v AS (SELECT DISTINCT id, nome, cargo FROM p WHERE regexp_full_match(nome, '\\p{{L}}+(?:[ .''-]\\p{{L}}+){{1,9}}') AND length(cargo) <= 120 AND NOT regexp_matches(cargo, '\\d') AND NOT contains(cargo, '<') AND NOT contains(cargo, 'http')
+AND regexp_matches(cargo, '{extraction.TITLE.replace('á', '(?-i:á)')}'))"""
+
+
+@query(f"WITH {_SIGNED} SELECT id, nome, cargo FROM v")
 def author_pairs(spark, d):
     """Signing authors and titles found in the full texts."""
     docs = table(spark, d, "normas").filter("integra IS NOT NULL").select("id", "integra").distinct()
-    return extraction.signatures(docs, starts=("PREFEITURA DO MUNICÍPIO DE",), ends=("\x01",))
+    return extraction.signatures(docs, starts=_STARTS, ends=_ENDS)
+
+
+def _stored(x: str) -> str:
+    return f"upper(regexp_replace(trim({x}), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH {_SIGNED}, old AS (SELECT min(id) AS id, {_stored('nome')} AS nome FROM autores WHERE nome IS NOT NULL GROUP BY 2), s AS (SELECT id AS id_norma, {_stored('nome')} AS nome, {_stored('cargo')} AS cargo FROM v),
+fresh AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY nome) AS id, nome FROM (SELECT DISTINCT nome FROM s WHERE nome NOT IN (SELECT nome FROM old))),
+w AS (SELECT id_norma, a.id AS id_autor, max(cargo) AS cargo FROM s JOIN (SELECT * FROM old UNION ALL SELECT * FROM fresh) a USING (nome) GROUP BY 1, 2)
+SELECT coalesce(n.id_norma, w.id_norma) AS id_norma, coalesce(n.id_autor, w.id_autor) AS id_autor, CASE WHEN w.id_norma IS NOT NULL THEN w.cargo ELSE n.cargo_autor END AS cargo_autor, n.cargo_autor_normalizado, coalesce(n.ativo, 1) AS ativo
+FROM norma_autor n FULL JOIN w ON w.id_norma = n.id_norma AND w.id_autor = n.id_autor"""
+)
+def author_store(spark, d):
+    """The links after the signing authors of the full texts have been stored."""
+    return services.store_authors(author_pairs(spark, d), table(spark, d, "autores"), table(spark, d, "norma_autor"))[1]
+
+
+@query(
+    f"SELECT DISTINCT cargo_autor, trim(upper(regexp_replace(regexp_replace(regexp_replace(strip_accents(regexp_replace(trim(CASE WHEN cargo_autor LIKE 'P%' THEN 'Titular ' || cargo_autor ELSE cargo_autor END), '\\p{{M}}', '', 'g')), '{_EDGE}$', ''), '^{_EDGE}', ''), '\\s+', ' ', 'g'))) AS valor "
+    "FROM norma_autor WHERE cargo_autor IS NOT NULL AND trim(cargo_autor, ' ') <> '' AND (cargo_autor_normalizado IS NULL OR trim(cargo_autor_normalizado, ' ') = '')"
+)
+def title_answers(spark, d):
+    """Pending titles normalised by a recorded model, which answers only for some; the others get their sanitised form."""
+    return services.normalize_titles(pending_titles(spark, d), _recorded)
+
+
+def _recorded(titles: list[str]) -> str:
+    """What a model of titles might answer: JSON in JSON, after a thought."""
+    import json
+
+    results = [{"original": t, "normalizado": "Titular " + t} for t in titles if t.startswith("P")]
+    parts = [{"text": "...", "thought": True}, {"text": "```json\n" + json.dumps({"resultados": results}) + "\n```"}]
+    return json.dumps({"candidates": [{"content": {"parts": parts}}]})
 
 
 # --- corpus statistics and reductions ---------------------------------------------------------------------------------
@@ -684,16 +738,15 @@ def classification_report(spark, d):
     return topics.classification_report(_pairs(spark, d))
 
 
-@query(f"WITH {q.CORPUS} SELECT count(*) AS documentos, CAST(sum(len({q.tokens('texto')})) AS BIGINT) AS tokens, CAST(sum(greatest(0, 32 - len({q.tokens('texto')}))) AS BIGINT) AS poupados FROM c")
+@query(f"WITH {q.CORPUS} SELECT count(*) AS documentos, CAST(sum(len({q.tokens('texto')})) AS BIGINT) AS tokens, CAST(greatest(0, 32 * count(*) - sum(len({q.tokens('texto')}))) AS BIGINT) AS poupados FROM c")
 def engineering_metrics(spark, d):
-    """Tokens kept by the reductions and saved against 32 assumed per summary."""
-    n = F.size(tx.tokens(F.col("texto")))
-    return _docs(spark, d).agg(F.count("*").alias("documentos"), F.sum(n).alias("tokens"), F.sum(F.greatest(F.lit(0), 32 - n)).alias("poupados"))
+    """Tokens kept by the reductions and saved against 32 assumed per summary, over all of them."""
+    return topics.saved_tokens(_docs(spark, d), tx.tokens(F.col("texto")))
 
 
 def _topic_model(spark: SparkSession, d: str):
-    cells = topics.matrix(_topic_docs(spark, d)).persist()
-    return cells, *topics.factorize(cells)
+    terms, rows = topics.numbered(topics.matrix(_topic_docs(spark, d)))
+    return rows, terms, topics.factors(rows, len(terms))
 
 
 @query()
@@ -710,6 +763,33 @@ def topic_assign(spark, d):
     return topics.assign_topics(*_topic_model(spark, d))
 
 
+@query(
+    f"""WITH c AS (SELECT id_topico AS id, count(DISTINCT id_norma) AS n FROM norma_topicos WHERE id_topico <= 8 GROUP BY 1), t AS (SELECT count(DISTINCT id_norma) AS t FROM norma_topicos),
+w AS (SELECT id, coalesce((SELECT min(r.id) FROM rotulos_topicos r WHERE r.nome = x.rotulo), 1) AS id_rotulo_topico, array_to_string(string_split_regex(termos_principais, ',\\s*')[1:3], ', ') AS termos_principais, CAST(n AS INTEGER) AS total_normas, round(n * 100.0 / t, 4) AS percentual_base
+  FROM (SELECT p.id, p.termos_principais, c.n, {_label_sql('p.termos_principais')} AS rotulo FROM topicos p JOIN c USING (id)) x, t)
+SELECT * FROM w UNION ALL SELECT id, id_rotulo_topico, termos_principais, total_normas, percentual_base FROM topicos WHERE id NOT IN (SELECT id FROM w)"""
+)
+def topic_store(spark, d):
+    """The stored topics after eight of them were counted and labelled anew."""
+    t = table(spark, d, "topicos")
+    new = topic_summary(spark, d).filter("id_topico <= 8").join(t.select(F.col("id").alias("id_topico"), "termos_principais"), "id_topico")
+    rows = new.select(F.col("id_topico").alias("id"), topics.topic_label(F.col("termos_principais")).alias("rotulo"), F.slice(F.split("termos_principais", ",\\s*"), 1, 3).alias("termos"), F.col("normas").alias("total_normas"), F.col("percentual").alias("percentual_base"))
+    return services.store_topics(t, rows, table(spark, d, "rotulos_topicos"))
+
+
+@query("SELECT t.id, printf('Tópico #%02d [%s] (ID Rótulo: %d): %s (%.1f%%)', t.id, r.nome, t.id_rotulo_topico, t.termos_principais, t.percentual_base) AS linha FROM topicos t JOIN rotulos_topicos r ON r.id = t.id_rotulo_topico")
+def topic_lines(spark, d):
+    """Each stored topic in one line."""
+    r = table(spark, d, "rotulos_topicos").select(F.col("id").alias("id_rotulo_topico"), "nome")
+    return table(spark, d, "topicos").join(r, "id_rotulo_topico").select("id", services.topic_line(F.col("id"), F.col("nome"), F.col("id_rotulo_topico"), F.col("termos_principais"), F.col("percentual_base")).alias("linha"))
+
+
+@query()
+def profile_lines(spark, d):
+    """Each author's specialisation in one line."""
+    return services.profile_lines(author_profile(spark, d))
+
+
 # --- vectors -----------------------------------------------------------------------------------------------------------
 
 
@@ -775,6 +855,33 @@ def local_embeddings(spark, d):
     return embeddings.local_embeddings(_docs(spark, d))
 
 
+@query(f"WITH {q.CORPUS} SELECT id, CAST(128 AS BIGINT) AS dim, CASE WHEN len({q.tokens('texto', True)}) > 0 THEN 1.0 ELSE 0.0 END AS norma FROM c")
+def embedding_norms(spark, d):
+    """Number and length of the hashed vectors: unit vectors, zeros where a summary has no token."""
+    return local_embeddings(spark, d).select("id", F.size("vetor").cast("bigint").alias("dim"), F.round(vec.norm(F.col("vetor")), 4).alias("norma"))
+
+
+@query(f"WITH {q.CORPUS} SELECT e.id, CAST(CASE WHEN e.embeddings IS NULL AND c.id IS NOT NULL THEN 128 ELSE len(e.embeddings) END AS BIGINT) AS dim, e.embeddings IS NULL AND c.id IS NOT NULL AS novo FROM ementas_pre_processadas e LEFT JOIN c ON c.id = e.id_norma")
+def embedding_fill(spark, d):
+    """Vectors made for the rows that have none yet; the others keep theirs."""
+    e = table(spark, d, "ementas_pre_processadas").select("id", "id_norma", "embeddings")
+    filled = services.fill_vectors(e, _docs(spark, d)).select("id", F.when(F.col("embeddings").isNotNull(), F.size("embeddings")).cast("bigint").alias("dim"))
+    return filled.join(e.select("id", F.col("embeddings").isNull().alias("vazio")), "id").select("id", "dim", (F.col("vazio") & F.col("dim").isNotNull()).alias("novo"))
+
+
+@query(f"{_NEAR}, x AS (SELECT a.cluster, u.i AS i, u.v / sqrt(u.s) AS v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x, j: {{'v': CAST(x AS DOUBLE), 'i': j - 1, 's': list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))}})) AS u FROM embeddings) e JOIN a ON a.id = e.vec_id), y AS (SELECT cluster, i, sum(v) AS v FROM x GROUP BY 1, 2) SELECT cluster, CAST(i AS INTEGER) AS i, round(v / sqrt(sum(v * v) OVER (PARTITION BY cluster)), 5) AS v FROM y")
+def kmeans_round(spark, d):
+    """One round of k-means from the label centroids: the new centroids."""
+    rows = _centres(spark, d).orderBy("cluster").collect()  # ten labels
+    import numpy as np
+
+    v = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("vetor"))
+    sums, sizes = embeddings.recentre(v, np.array([r["centro"] for r in rows]))
+    new = sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    cells = [(rows[j]["cluster"], i, round(float(x), 5)) for j in range(len(new)) if sizes[j] for i, x in enumerate(new[j])]
+    return spark.createDataFrame(cells, "cluster int, i int, v double")
+
+
 @query()
 def kmeans(spark, d):
     """Ten clusters of the vectors with their reports."""
@@ -786,3 +893,35 @@ def kmeans(spark, d):
 def all_reductions(spark, d):
     """The twelve reductions of every summary in one table."""
     return reductions.all_reductions(_docs(spark, d))
+
+
+_NINE = {"stopwords_tfidf_topk": "tfidf_topk_stop", "tfidf_topk": "tfidf_topk_raw", "resumo_extrativo_tfidf": "extractive_summary", "tfidf_posicao_sentenca": "position_summary", "tfidf_mmr": "mmr_summary", "tfidf_similaridade_frases": "centrality_summary", "tfidf_feature_selection": "feature_selection", "chi_square_termos": "chi2_terms", "mutual_information": "mi_terms"}
+
+
+@query(f"SELECT r0.id, {', '.join(f'r{i}.texto AS {c}' for i, c in enumerate(_NINE))} FROM ({SQL['tfidf_topk_stop']}) r0 " + " ".join(f"JOIN ({SQL[n]}) r{i} ON r{i}.id = r0.id" for i, n in enumerate(_NINE.values()) if i))
+def nine_reductions(spark, d):
+    """Those columns of the twelve reductions that SQL can express."""
+    return all_reductions(spark, d).select("id", *_NINE)
+
+
+# --- storage and streams -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) * 2 AS linhas, count(DISTINCT id) AS ids, 0 AS depois FROM norma_relacionamentos")
+def stored_changes(spark, d):
+    """A stored table overwritten with twice its rows, read from itself, and then emptied."""
+    at = stage(table(spark, d, "norma_relacionamentos").select("id", "tipo_relacionamento"), "relacionamentos")._staged_path
+    upsert.overwrite(spark.read.parquet(at).union(spark.read.parquet(at)), at)
+    counts = spark.read.parquet(at).agg(F.count("*"), F.countDistinct("id")).first()
+    upsert.delete_all(spark, at)
+    return spark.createDataFrame([(counts[0], counts[1], spark.read.parquet(at).count())], "linhas bigint, ids bigint, depois bigint")
+
+
+@query("SELECT count(*) AS linhas, count(DISTINCT id) AS ids FROM normas")
+def incremental_rows(spark, d):
+    """All rows of a table taken as a stream of files, batch by batch, into another table."""
+    source = table(spark, d, "normas").select("id", "titulo")
+    at = stage(source, "fluxo-entrada")._staged_path
+    out = at + "-saida"
+    process_new(spark, at, source.schema, lambda batch, n: batch.write.mode("append").parquet(out), at + "-estado")
+    return spark.read.schema(source.schema).parquet(out).agg(F.count("*").alias("linhas"), F.countDistinct("id").alias("ids"))

@@ -1,7 +1,7 @@
 """A paged JSON search interface as a Spark data source: one input partition per page.
 
 The pages come over HTTP, or from files ``page-N.json`` under a folder, which tests use. Option ``details`` also
-fetches each record by its id.
+fetches each record by its id. Over HTTP a task rests ``page_wait`` seconds after a page and ``item_wait`` before a record.
 """
 
 from __future__ import annotations
@@ -20,21 +20,28 @@ _NAMES = {"tipo_escrito": "tipoescrito", "tipo_slug": "tiposlug", "data_original
 
 
 def fetch(address: str, body: dict | None = None, first_wait: float = 0.4, step: float = 0.15, longest: float = 3.0, tries: int = 20) -> dict | None:
-    """The JSON at address; 429 waits and tries again, other errors give null."""
-    wait = first_wait
+    """The JSON at address; null where the interface has none (404).
+
+    429 waits, longer each time, and tries again, as do errors of the connection and of the server. What still fails
+    after the last try is an error: no page and no record goes missing unnoticed.
+    """
+    wait, last = first_wait, None
     for _ in range(tries):
         request = urllib.request.Request(address, data=None if body is None else json.dumps(body).encode(), headers={"Content-Type": "application/json"})
         try:
             with urllib.request.urlopen(request, timeout=60) as answer:
                 return json.load(answer)
         except urllib.error.HTTPError as e:
-            if e.code != 429:
+            if e.code == 404:
                 return None
-            time.sleep(wait)
-            wait = min(wait + step, longest)
-        except (urllib.error.URLError, ValueError):
-            return None
-    return None
+            if e.code != 429 and e.code < 500:
+                raise
+            last = e
+        except urllib.error.URLError as e:
+            last = e
+        time.sleep(wait)
+        wait = min(wait + step, longest)
+    raise OSError(f"no answer from {address} after {tries} tries: {last}")
 
 
 class Page(InputPartition):
@@ -60,12 +67,15 @@ class _Reader(DataSourceReader):
     def read(self, page: Page) -> Iterator[tuple]:
         for item in self._page(page.number).get("data") or []:
             if self.o.get("details"):
+                time.sleep(float(self.o.get("item_wait", 0.5)))
                 full = fetch(f"{self.o['details'].rstrip('/')}/{item.get('id')}")
                 if full is None:
-                    continue
+                    continue  # the interface no longer has it
                 item = (full.get("data") or {}).get("norma") or item
             row = {_NAMES.get(k, k): v for k, v in item.items()}
             yield tuple(row.get(c) for c in self.columns)
+        if self.o["path"].startswith("http"):
+            time.sleep(float(self.o.get("page_wait", 10)))
 
 
 class SearchSource(DataSource):

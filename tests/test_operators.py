@@ -27,17 +27,19 @@ def docs(spark):
 
 def test_relation_classes(spark):
     cases = {
-        "(Revogado pela Lei nº": "REVOGACAO",
-        "Revogam-se as disposições em contrário da Lei nº": "REVOGACAO",
-        "(Redação dada pelo Decreto nº": "ALTERACAO",
-        "CONFERE NOVA REDAÇÃO AO ARTIGO 3º DO DECRETO Nº": "ALTERACAO",
-        "SUBSTITUI OS ANEXOS I E II DO DECRETO Nº": "ALTERACAO",
-        "(Acrescido pela Lei nº": "ACRESCIMO",
-        "Dá regulamento ao Decreto nº": "REGULAMENTACAO",
-        "DE ACORDO COM A LEI Nº": "BASE_LEGAL",
-        "Veja o Decreto nº": "VIDE",
-        "Prorroga o prazo": "SUSPENSAO_PRORROGACAO",
-        "conforme previsto": "REFERENCIA",
+        "norma revogada em parte pelo": "REVOGACAO",
+        "Ficam revogadas as seguintes normas:": "REVOGACAO",
+        "passa a vigorar com o texto do": "ALTERACAO",
+        "com a seguinte REDAÇÃO, vinda da": "ALTERACAO",
+        "tabela substituída; SUBSTITUI a do": "ALTERACAO",
+        "parágrafo incluído pelo": "ACRESCIMO",
+        "regulamentação da": "REGULAMENTACAO",
+        "em conformidade com a": "BASE_LEGAL",
+        "(veja o": "VIDE",
+        "prazo cuja prorrogação consta da": "SUSPENSAO_PRORROGACAO",
+        "suspende os efeitos da": "SUSPENSAO_PRORROGACAO",
+        "alterada e depois revogada pela": "REVOGACAO",
+        "segundo o anexo da": "REFERENCIA",
         "": "REFERENCIA",
         None: "REFERENCIA",
     }
@@ -50,6 +52,25 @@ def test_links():
     found = extraction.find_links(html)
     assert [(f["url"], f["data_id"]) for f in found] == [("https://x/sao-paulo/lei/lei-ordinaria/2013/9/15764", 7), ("/z", None)]
     assert found[0]["contexto"] == "Altera a" and extraction.find_links(None) == []
+    odd = extraction.find_links("<abbr href=x>n</abbr> <a data-id=12 href=/p?a=1&amp;b=2>t</a> <a href='a b'>u</a> <a href=''>v</a> <a href=/aberto>")
+    assert [(f["url"], f["data_id"]) for f in odd] == [("/p?a=1&b=2", 12), ("a b", None)]
+    assert len(extraction.find_links("<a href=/x>y</a>" * 3000)) == 3000
+
+
+def test_address_parts(spark):
+    cases = {
+        "https://x.org/sao-paulo/lei/lei-ordinaria/2013/9/15764": ("lei-ordinaria", 2013, 15764),
+        "/sao-paulo/decreto/2015/56123": ("decreto", 2015, None),
+        "/Sao-Paulo/DECRETO/2015/x/56123a": ("decreto", 2015, 56123),
+        "/sao-paulo/decreto": ("decreto", None, None),
+        "/outra/decreto/2015/x/1": (None, None, None),
+        "": (None, None, None),
+        None: (None, None, None),
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "u string").select(*extraction.address_parts(F.col("u"))).collect()
+    assert [tuple(r) for r in rows] == list(cases.values())
+    free = spark.createDataFrame([("https://h/decreto/2020/a/7",)], "u string").select(*extraction.address_parts(F.col("u"), None)).first()
+    assert tuple(free) == ("decreto", 2020, 7)
 
 
 def test_citation_edges_resolve_by_id_then_key(spark):
@@ -95,6 +116,47 @@ def test_reductions_fill_every_column(docs):
     assert len(rows[6]["textrank"].split()) <= 7
 
 
+def test_single_reductions_equal_the_pipeline(docs):
+    rows = {r["id"]: r for r in reductions.all_reductions(docs).collect()}
+    for name, reduce in reductions.STRATEGIES.items():
+        assert {r["id"]: r["texto"] or "" for r in reduce(docs).collect()} == {i: r[name] for i, r in rows.items()}, name
+    assert reductions.all_reductions(docs.limit(0)).count() == 0
+
+
+def test_summaries_of_several_sentences(spark):
+    text = "Cria o parque municipal e o parque verde. Cria o parque municipal e o parque verde. Abre crédito suplementar para saúde. Fim."
+    docs = spark.createDataFrame([(1, text, "a"), (2, "Uma só frase aqui", "a"), (3, "", "b")], "id bigint, texto string, classe string")
+    parts = text.split(". ")
+    both = reductions.all_reductions(docs, m=2)
+    for name, reduce in (("resumo_extrativo_tfidf", reductions.extractive_summary), ("tfidf_posicao_sentenca", reductions.position_summary), ("tfidf_mmr", reductions.mmr_summary), ("tfidf_similaridade_frases", reductions.centrality_summary)):
+        alone = {r["id"]: r["texto"] for r in reduce(docs, m=2).collect()}
+        assert {i: t or "" for i, t in alone.items() if i < 3} == {r["id"]: r[name] for r in both.collect() if r["id"] < 3}, name
+        assert alone[2] == "Uma só frase aqui"
+    assert reductions.extractive_summary(docs.filter("id = 1"), m=9).first()["texto"] == text
+    # the second sentence repeats the first: relevance alone takes it, marginal relevance doesn't
+    texts = {r: reductions.mmr_summary(docs.filter("id = 1"), relevance=r, m=2).first()["texto"] for r in (1.0, 0.5)}
+    assert texts[1.0] == f"{parts[0]}. {parts[1]}." and texts[0.5] == f"{parts[0]}. {parts[2]}."
+
+
+def test_textrank_equals_the_power_iteration():
+    words = "a1 b1 c1 a1 d1 e1 b1 f1 a1 c1 g1 h1 b1 d1".split()
+    weight = Counter()
+    for i, x in enumerate(words):
+        for y in words[i + 1 : i + 4]:
+            if x != y:
+                weight[x, y] += 1
+                weight[y, x] += 1
+    score = dict.fromkeys(words, 1.0)
+    total = {x: sum(n for (a, _), n in weight.items() if a == x) for x in score}
+    for _ in range(30):
+        new = {x: 0.15 + 0.85 * sum(n / total[a] * score[a] for (a, b), n in weight.items() if b == x) for x in score}
+        done = max(abs(new[x] - score[x]) for x in score) < 1e-4
+        score = new
+        if done:
+            break
+    assert reductions.rank_terms(words, 5) == sorted(score, key=lambda x: (-round(score[x], 6), x))[:5]
+
+
 def test_textrank_is_a_fixed_point():
     words = "orçamento anual estimando receita fixando despesa município receita anual".split()
     assert reductions.rank_terms(words[:3], 7) == words[:3]
@@ -155,7 +217,7 @@ def test_factorisation_separates_blocks(spark):
     cells = [(i, f"t{(i % 2) * 4 + j}", 0.5) for i in range(20) for j in range(4)]
     df = spark.createDataFrame(cells, "id bigint, termo string, peso double")
     terms, h = topics.factorize(df, k=2, rounds=10)
-    got = {r["id"]: r["id_topico"] for r in topics.assign_topics(df, terms, h).collect()}
+    got = {r["id"]: r["id_topico"] for r in topics.assign_topics(topics.numbered(df)[1], terms, h).collect()}
     assert len({(i % 2, t) for i, t in got.items()}) == 2
     assert topics.factorize(df.limit(0), k=2)[0] == []
 
@@ -184,7 +246,7 @@ def test_factorisation_is_as_good_as_a_plain_one(spark):
     assert residual(h) <= 1.001 * residual(plain)
     main = lambda m: {frozenset(t) for t in topics.topic_terms([f"t{j:02}" for j in range(32)], m)}
     assert main(h) == main(plain)
-    best = topics.assign_topics(cells, terms, h).collect()
+    best = topics.assign_topics(topics.numbered(cells)[1], terms, h).collect()
     assert {r["id"]: set(r["termos_chave"].split(", ")) <= {f"t{j + 8 * (r['id'] % k):02}" for j in range(8)} for r in best} == {i: True for i in range(80)}
     assert all(len(r["termos_chave"].split(", ")) == 5 for r in best)
 
@@ -208,6 +270,88 @@ def test_get_or_create(spark):
     assert [tuple(r) for r in upsert.get_or_create(dim, names.limit(0)).collect()] == [(4, "M")]
 
 
+def test_get_or_create_of_many_names(spark):
+    dim = spark.createDataFrame([(7, "x")], "id bigint, nome string")
+    many = upsert.get_or_create(dim, spark.range(200_000).select(F.concat(F.lit("n"), F.xxhash64("id").cast("string")).alias("nome"))).persist()
+    assert tuple(many.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()) == (200_001, 200_001, 7, 200_007)
+    order = many.filter("id > 7").groupBy(F.expr("id div 1000").alias("g")).agg(F.min("nome").alias("a"), F.max("nome").alias("z")).orderBy("g").collect()
+    assert all(x["z"] < y["a"] for x, y in zip(order, order[1:]))
+
+
+def test_links_keep_their_flag(spark):
+    links = spark.createDataFrame([(1, 1, "VELHO", "V", 0), (2, 1, None, None, 1)], "id_norma bigint, id_autor bigint, cargo_autor string, cargo_autor_normalizado string, ativo int")
+    source = spark.createDataFrame([(1, 1, " novo  cargo "), (3, 2, "x"), (3, 2, "x"), (None, 2, "y")], "id_norma bigint, id_autor bigint, cargo_autor string")
+    assert sorted(tuple(r) for r in upsert.upsert_links(links, source).collect()) == [(1, 1, "NOVO CARGO", "V", 0), (2, 1, None, None, 1), (3, 2, "X", None, 1)]
+    labels = spark.createDataFrame([(4, "A"), (3, "A")], "id int, nome string")
+    names = spark.createDataFrame([("A",), ("B",), (None,)], "nome string")
+    assert [r["id"] for r in upsert.key_or_default(labels, names).orderBy(F.col("nome").asc_nulls_last()).collect()] == [3, 1, 1]
+
+
+def test_a_broken_swap_is_put_back(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.range(3).write.parquet(at)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as a crash between the two moves leaves it
+    upsert.recover(spark, at)
+    assert spark.read.parquet(at).count() == 3
+    upsert.delete_all(spark, at)
+    left = spark.read.parquet(at)
+    assert left.count() == 0 and left.columns == ["id"] and not (tmp_path / "t.old").exists()
+
+
+def test_class_scores_of_many_classes(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"termo{x}" for x in rng.choice(12, 3, replace=False)), f"c{rng.integers(0, 30)}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "id bigint, texto string, classe string")
+    toks, sizes = {i: set(t.split()) for i, t, _ in rows}, Counter(c for _, _, c in rows)
+    for r in stats.class_scores(docs, len(rows)).collect():
+        df, best, info = sum(r["termo"] in t for t in toks.values()), 0.0, 0.0
+        for c, size in sizes.items():
+            a = sum(r["termo"] in toks[i] and k == c for i, _, k in rows)
+            b, cc, n = df - a, size - a, len(rows)
+            d = n - a - b - cc
+            best = max(best, n * (a * d - b * cc) ** 2 / (df * size * (b + d) * (cc + d)))
+            info = max(info, a / n * math.log2(a / n / (df / n * size / n)) if a else 0)
+        assert (r["df"], pytest.approx(best), pytest.approx(info)) == (df, r["chi2"], r["mi"])
+
+
+def test_answers_of_a_model(spark):
+    import json
+
+    from tabularium.operators import services
+
+    inner = json.dumps({"resultados": [{"original": "a", "normalizado": "Á."}, {"original": "b", "normalizado": " "}, {"original": None, "normalizado": "x"}]})
+    envelope = json.dumps({"candidates": [{"content": {"parts": [{"text": "hm", "thought": True}, {"text": inner}]}}]})
+    df = spark.createDataFrame([(envelope,), ("{broken",), (None,)], "resposta string")
+    assert sorted(tuple(r) for r in services.parse_answers(df).collect()) == [("a", "Á."), ("b", " ")]
+    pending = spark.createDataFrame([("a",), ("b",), ("c;",), ("a",), (None,)], "cargo_autor string").coalesce(1)
+    assert sorted(tuple(r) for r in services.normalize_titles(pending, lambda t: envelope).collect()) == [("a", "A"), ("b", "B"), ("c;", "C")]
+
+    def broken(titles):
+        raise OSError
+
+    assert services.normalize_titles(pending, broken, tries=2, wait=0.01).count() == 3
+
+
+def test_vectors_are_filled_with_a_limit(spark):
+    from tabularium.operators import services
+
+    rows = spark.createDataFrame([(1, None), (2, [1.0]), (3, None), (4, None)], "id_norma bigint, embeddings array<float>")
+    texts = spark.createDataFrame([(1, "praça"), (2, "rua"), (3, "via")], "id bigint, texto string")
+    sizes = lambda df: {r["id_norma"]: r["embeddings"] and len(r["embeddings"]) for r in df.collect()}
+    assert sizes(services.fill_vectors(rows, texts)) == {1: 128, 2: 1, 3: 128, 4: None}
+    assert sizes(services.fill_vectors(rows, texts, limit=1)) == {1: 128, 2: 1, 3: None, 4: None}
+    assert sizes(services.fill_vectors(rows, texts, pending_only=False)) == {1: 128, 2: 128, 3: 128, 4: None}
+
+
+def test_cluster_lines(spark):
+    from tabularium.operators import services
+
+    report = spark.createDataFrame([(3, 12, 40.0, 0.91234, 7)], "cluster int, tamanho bigint, percentual double, coesao double, medoide bigint")
+    words = spark.createDataFrame([(3, "b", 2), (3, "a", 1)], "cluster int, termo string, posicao int")
+    names = spark.createDataFrame([(7, "Lei nº 1", "um\n texto")], "id bigint, nome string, texto string")
+    assert services.cluster_lines(report, words, names).first()["linha"] == "CLUSTER #03 | 12 normas (40.0%) | Coesão Média: 0.912 | Palavras-chave: a, b | MEDOID: Lei nº 1 - um texto"
+
+
 def test_overwrite_reads_its_own_table(spark, tmp_path):
     at = str(tmp_path / "t")
     spark.range(3).write.parquet(at)
@@ -233,6 +377,46 @@ def test_paged_source(spark, tmp_path):
     assert sorted(tuple(r) for r in rows) == [(1, 2001, "lei"), (2, 2002, "lei")]
 
 
+def test_paged_source_over_http(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tabularium.sources import api
+
+    asked = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, code, body):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_POST(self):
+            page = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["page"]
+            asked["page", page] += 1
+            busy = page == 2 and asked["page", 2] == 1
+            self.answer(429 if busy else 200, {"pages": 2, "data": [{"id": page * 10 + n} for n in range(2)]})
+
+        def do_GET(self):
+            key = int(self.path.rsplit("/", 1)[1])
+            self.answer(404 if key == 11 else 200, {"data": {"norma": {"id": key, "integra": f"texto {key}"}}})
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(api.SearchSource)
+    rows = spark.read.format("paged_search").option("details", at + "/norma").option("page_wait", 0).option("item_wait", 0).load(at).select("id", "integra").collect()
+    assert sorted(tuple(r) for r in rows) == [(10, "texto 10"), (20, "texto 20"), (21, "texto 21")] and asked["page", 2] >= 2
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(OSError):
+        api.fetch(at, {}, first_wait=0.01, step=0, tries=2)
+
+
 def test_incremental_takes_new_files_once(spark, tmp_path):
     from tabularium.streaming.incremental import process_new
 

@@ -36,6 +36,21 @@ def test_query_equals_sql(spark, small, db, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL) - {"all_reductions"}))
-def test_query_without_sql_gives_rows(spark, small, name):
-    assert core.QUERIES[name](spark, small).count() > 0
+#: Queries without SQL: what must hold of their rows (r: rows as dictionaries; n: number of norms with a summary).
+CHECKS = {
+    "textrank": lambda r, n: len(r) == n and all(x["texto"] is not None and len(x["texto"].split()) <= 7 for x in r),
+    "lsa_terms": lambda r, n: len(r) == n and all(len(x["texto"].split()) <= 7 for x in r),
+    "sentence_clusters": lambda r, n: len(r) == n and any(x["texto"] for x in r),
+    "all_reductions": lambda r, n: len(r) == len({x["id"] for x in r}) == n and len(r[0]) == 13,
+    "nmf_topics": lambda r, n: [x["id"] for x in sorted(r, key=lambda x: x["id"])] == list(range(1, 13)) and all(len(x["termos_principais"].split(", ")) == 8 and x["rotulo"] for x in r),
+    "topic_assign": lambda r, n: len(r) == len({x["id"] for x in r}) > 0 and all(1 <= x["id_topico"] <= 12 and 1 / 12 <= x["score"] <= 1 and len(x["termos_chave"].split(", ")) == 5 for x in r),
+    "local_embeddings": lambda r, n: len(r) == n and all(len(x["vetor"]) == 128 for x in r),
+    "kmeans": lambda r, n: len(r) == 10 and abs(sum(x["percentual"] for x in r) - 100) < 0.01 and sum(x["tamanho"] for x in r) == 500 and all(-1 <= x["coesao"] <= 1 and x["inercia"] >= 0 for x in r),
+    "profile_lines": lambda r, n: all(x["linha"].startswith("Autor: ") and "█" in x["linha"] for x in r),
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
+def test_query_without_sql(spark, small, name):
+    n = core._docs(spark, small).count()
+    assert CHECKS[name]([r.asDict() for r in core.QUERIES[name](spark, small).collect()], n)
