@@ -2,7 +2,8 @@
 
 1. Each task encodes its records with a local dictionary and accumulates one array of occurrences and one of
    record presence per block, so a term leaves a block once however often it occurs there.
-2. The global dictionary gives each distinct term an integer; identifiers are consecutive within a partition.
+2. The global dictionary gives each distinct term an integer; identifiers are consecutive within a partition. Terms of
+   very many blocks, 2,000 at most, are encoded by a broadcast, so that no task gets all blocks of a common term.
 3. Blocks are re-encoded with the global identifiers and their arrays are summed by identifier range, first per
    group of blocks, then over the groups: no task gets more than ``fan_in`` blocks of one range.
 """
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.session import stage
+from tabularium.session import small, stage
 
 RANGE_BITS = 12
 
@@ -60,11 +61,15 @@ def term_frequencies(records: DataFrame, terms_col: str = "termos", fan_in: int
     Ties, repeated terms and very long records are counted as they are. Sums are exact up to 2**53.
     """
     blocks = stage(count_blocks(records, terms_col), "p6-blocos")
-    head = blocks.agg(F.sum(F.when(F.col("termo").isNull(), F.col("registros"))).alias("n"), F.count_if(F.col("termo").isNull()).alias("b")).first()
+    head = blocks.agg(F.sum(F.when(F.col("termo").isNull(), F.col("registros"))).alias("n"), F.count_if(F.col("termo").isNull()).alias("b"), F.count("termo").alias("t")).first()
     n, groups = int(head["n"] or 0), max(1, -(-int(head["b"] or 0) // fan_in))
     found = blocks.filter(F.col("termo").isNotNull())
-    dictionary = stage(found.select("termo").distinct().withColumn("id", F.monotonically_increasing_id()), "p6-dicionario")
-    coded = found.join(dictionary, "termo").select(
+    dictionary = stage(found.groupBy("termo").agg(F.count("*").alias("blocos")).withColumn("id", F.monotonically_increasing_id()), "p6-dicionario")
+    hot_at = max(1000, -(-int(head["t"] or 0) // 2000))
+    hot = small(dictionary.filter(F.col("blocos") > hot_at).select("termo", "id"))
+    cold = found.join(hot.select("termo"), "termo", "left_anti").join(dictionary.filter(F.col("blocos") <= hot_at).select("termo", "id"), "termo")
+    numbered = cold.unionByName(found.join(hot, "termo"))
+    coded = numbered.select(
         F.shiftright("id", RANGE_BITS).alias("faixa"),
         F.pmod("bloco", F.lit(groups)).alias("grupo"),
         F.col("id").bitwiseAND((1 << RANGE_BITS) - 1).cast("int").alias("posicao"),
@@ -77,7 +82,7 @@ def term_frequencies(records: DataFrame, terms_col: str = "termos", fan_in: int
     sums = flat.groupBy(F.shiftleft("faixa", RANGE_BITS).bitwiseOR(F.col("posicao").cast("bigint")).alias("id")).agg(
         F.sum("c.ocorrencias").alias("ocorrencias"), F.sum("c.registros").alias("registros")
     )
-    return dictionary.join(sums, "id").select("termo", "ocorrencias", "registros"), n
+    return dictionary.select("termo", "id").join(sums, "id").select("termo", "ocorrencias", "registros"), n
 
 
 def mark(frequencies: DataFrame, n_records: int, rare_below: int = 4, common_percent: int = 30) -> DataFrame:
