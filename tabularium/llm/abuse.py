@@ -363,8 +363,8 @@ def fit(documents: DataFrame, reviews: DataFrame, max_docs: int = 6000) -> tuple
         rows = sorted(((d, y, f) for b in batches for d, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(f, y) for _, y, f in rows]))], pa.binary())], names=["modelo"])
 
-    model = pickle.loads(ready.coalesce(1).mapInArrow(learn, "modelo binary").first()["modelo"])
-    return model, labels.join(learned.select("doc_id"), "doc_id", "left_anti")
+    made = ready.coalesce(1).mapInArrow(learn, "modelo binary").first()
+    return train([]) if made is None else pickle.loads(made["modelo"]), labels.join(learned.select("doc_id"), "doc_id", "left_anti")
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
