@@ -22,6 +22,11 @@ from tabularium.session import stage
 DIGITS = 6
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs stored, so that statistics and scores don't each read and clean the collection anew."""
+    return docs if getattr(docs, "_staged_path", None) else stage(docs.select("id", "texto", "classe"), "resumos")
+
+
 def _complete(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.select("id").join(found, "id", "left").select("id", F.coalesce("texto", F.lit("")).alias("texto"))
 
@@ -51,8 +56,10 @@ def _weighted(docs: DataFrame, n: int) -> DataFrame:
 
 def tfidf_topk(docs: DataFrame, k: int = 7, stopwords: bool = False) -> DataFrame:
     """The k terms of highest TF-IDF. With stop words kept, those get the IDF of unseen terms."""
+    docs = _once(docs)
     n = docs.count()
-    toks = docs.select("id", F.explode(tokens(F.col("texto"), stopwords)).alias("termo"), F.size(tokens(F.col("texto"), stopwords)).alias("total"))
+    lists = docs.select("id", tokens(F.col("texto"), stopwords).alias("t"))
+    toks = lists.select("id", F.explode("t").alias("termo"), F.size("t").alias("total"))
     counted = toks.groupBy("id", "termo").agg(F.count("*").alias("c"), F.first("total").alias("total"))
     joined = stats.join_terms(counted, stats.with_idf(stats.document_frequency(docs), n), n)
     scored = joined.withColumn("score", F.col("c") / F.col("total") * F.coalesce("idf", F.lit(stats.unseen_idf(n))))
@@ -61,12 +68,14 @@ def tfidf_topk(docs: DataFrame, k: int = 7, stopwords: bool = False) -> DataFram
 
 def extractive_summary(docs: DataFrame, m: int = 1) -> DataFrame:
     """The m sentences of highest summed IDF over the root of their token count."""
+    docs = _once(docs)
     scores = _weighted(docs, docs.count()).groupBy("id", "frase").agg((F.sum("w") / F.sqrt(F.sum("c"))).alias("score"))
     return _best_sentence(docs, scores, m=m)
 
 
 def position_summary(docs: DataFrame, m: int = 1) -> DataFrame:
     """As the extractive summary, with weight 1 + 1/(position + 1) for early sentences."""
+    docs = _once(docs)
     scores = _weighted(docs, docs.count()).groupBy("id", "frase").agg((F.sum("w") / F.sqrt(F.sum("c"))).alias("score"))
     return _best_sentence(docs, scores, 1.0 + 1.0 / (F.col("frase") + 1.0), m)
 
@@ -83,6 +92,7 @@ def mmr_summary(docs: DataFrame, relevance: float = 0.65, m: int = 1) -> DataFra
             return pd.Series([" ".join(s[i] for i in select_mmr([list(x) for x in p], dict(zip(t, i)) if t is not None else {}, m, relevance)) for s, p, t, i in zip(texts, parts, terms, idfs)])
 
         return _with_parts(docs).select("id", run("frases", "partes", "termos", "idfs").alias("texto"))
+    docs = _once(docs)
     w = _weighted(docs, docs.count())
     whole = w.groupBy("id", "termo").agg(F.sum("w").alias("v"))
     length = whole.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nd"))
@@ -92,6 +102,7 @@ def mmr_summary(docs: DataFrame, relevance: float = 0.65, m: int = 1) -> DataFra
 
 def centrality_summary(docs: DataFrame, m: int = 1) -> DataFrame:
     """The m sentences of highest summed cosine to the others, as one product with the sum of all unit sentences."""
+    docs = _once(docs)
     w = _weighted(docs, docs.count())
     norms = w.groupBy("id", "frase").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ns"))
     u = w.join(norms, ["id", "frase"]).select("id", "frase", "termo", (F.col("w") / F.col("ns")).alias("u"))
@@ -102,6 +113,7 @@ def centrality_summary(docs: DataFrame, m: int = 1) -> DataFrame:
 
 def feature_selection(docs: DataFrame, min_df: int = 2, most: int = 8) -> DataFrame:
     """The first terms that occur in at least min_df documents, in order; all terms where none does."""
+    docs = _once(docs)
     n = docs.count()
     first = docs.select("id", F.posexplode(tokens(F.col("texto"))).alias("pos", "termo")).groupBy("id", "termo").agg(F.min("pos").alias("pos"))
     items = stats.join_terms(first, stats.document_frequency(docs), n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "termo", "df"))).alias("a"))
@@ -111,6 +123,7 @@ def feature_selection(docs: DataFrame, min_df: int = 2, most: int = 8) -> DataFr
 
 def class_terms(docs: DataFrame, measure: str = "chi2", k: int = 7) -> DataFrame:
     """The k terms that tell the classes apart best, by 'chi2' or 'mi'."""
+    docs = _once(docs)
     n = docs.count()
     each = docs.select("id", F.explode(F.array_distinct(tokens(F.col("texto")))).alias("termo"))
     return _complete(docs, _top_terms(stats.join_terms(each, stats.class_scores(docs, n), n).withColumn("score", F.col(measure)), k))
@@ -305,6 +318,7 @@ def textrank(docs: DataFrame, k: int = 7, window: int = 3) -> DataFrame:
 
 def _with_parts(docs: DataFrame) -> DataFrame:
     """(id, texto, termos, idfs): the distinct terms of each document with their IDF attached."""
+    docs = _once(docs)
     n = docs.count()
     each = docs.select("id", F.explode(F.array_distinct(tokens(F.col("texto")))).alias("termo"))
     known = stats.join_terms(each, stats.with_idf(stats.document_frequency(docs), n), n).groupBy("id").agg(F.collect_list("termo").alias("termos"), F.collect_list("idf").alias("idfs"))
@@ -355,7 +369,7 @@ def all_reductions(docs: DataFrame, k: int = 7, m: int = 1) -> DataFrame:
     Documents are stored once and split into words once; the statistics of all terms are one table, joined with the
     distinct terms of each document once; a document's reductions are then made together, in Arrow batches.
     """
-    docs = stage(docs.select("id", "texto", "classe"), "resumos")
+    docs = _once(docs)
     n = docs.count()
     each = docs.select("id", F.explode(F.array_distinct(tokens(F.col("texto")))).alias("termo"))
     facts = stats.join_terms(each, stats.with_idf(stats.class_scores(docs, n), n), n)

@@ -147,7 +147,7 @@ def factors(rows: DataFrame, size: int, k: int = 12, rounds: int = 25, inner: in
     if not size:
         return np.zeros((k, 0))
     h = np.random.default_rng(seed).uniform(0.01, 1.0, (k, size))
-    sums = "k int, grupo int, s array<double>"
+    sums, many = "k int, grupo int, s array<double>", rows.rdd.getNumPartitions() > 32
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "grupo": [pdf["grupo"].iloc[0]], "s": [np.sum(np.stack(pdf["s"].to_list()), axis=0)]})
@@ -168,7 +168,9 @@ def factors(rows: DataFrame, size: int, k: int = 12, rounds: int = 25, inner: in
             group = TaskContext.get().partitionId() % 16
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([group] * k, pa.int32()), pa.array(list(np.hstack([wx, ww])), pa.list_(pa.float64()))], names=["k", "grupo", "s"])
 
-        parts = rows.select("c").mapInArrow(run, sums).groupBy("k", "grupo").applyInPandas(add, sums)
+        parts = rows.select("c").mapInArrow(run, sums)
+        if many:  # first within groups of tasks
+            parts = parts.groupBy("k", "grupo").applyInPandas(add, sums)
         total = np.zeros((k, size + k))
         for r in parts.groupBy("k").applyInPandas(add, sums).collect():  # k rows
             total[r["k"]] = r["s"]
