@@ -116,7 +116,7 @@ def fit(coded: DataFrame, topics: list[int], rounds: int = 8, inner: int = 8, pr
     model = Model(topics, columns, idf, np.zeros((k + 1, size + 2), np.float32), 0.28)
     if not size or not k:
         return Model(topics, columns[:0], idf[-2:], model.h[:, -2:], 0.28)
-    partials = "k int, grupo int, soma array<double>"
+    partials, many = "k int, grupo int, soma array<double>", coded.rdd.getNumPartitions() > 32
     counts = train.select(F.posexplode("ancoras").alias("c", "v")).groupBy("c").agg(F.sum("v").alias("v")).orderBy("c").collect()  # subjects + 1 rows
     common = np.array([r["v"] for r in counts[:k]]) / max(sum(r["v"] for r in counts[:k]), 1e-12)
 
@@ -147,8 +147,9 @@ def fit(coded: DataFrame, topics: list[int], rounds: int = 8, inner: int = 8, pr
             yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array([part % 16] * (k + 1), pa.int32()), pa.array(list(total[:size].T), pa.list_(pa.float64()))], names=["k", "grupo", "soma"])
 
         parts = train.select(F.spark_partition_id().alias("p"), "colunas", "ancoras").mapInArrow(run, partials)
-        first = parts.groupBy("k", "grupo").applyInPandas(add, partials)
-        sums = first.groupBy("k").applyInPandas(add, partials).collect()  # subjects + 1 rows
+        if many:  # first within groups of tasks
+            parts = parts.groupBy("k", "grupo").applyInPandas(add, partials)
+        sums = parts.groupBy("k").applyInPandas(add, partials).collect()  # subjects + 1 rows
         shared.unpersist()
         h = np.zeros((k + 1, size + 2))
         for r in sums:
