@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.session import stage, unstage
+from tabularium.session import small, stage, unstage
 
 #: Words of a name that don't tell persons apart, and generational suffixes by class.
 TITLES = frozenset("dr dra doutor doutora sr sra senhor senhora prof profa professor professora ver exmo exma exmos eng enga adv des dep sen ilmo ilma".split())
@@ -223,23 +223,25 @@ def forms_of(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("texto")).filter("texto IS NOT NULL").distinct().mapInArrow(run, "texto string, tokens array<string>, sufixo string")
 
 
-def deletions(token: F.Column) -> F.Column:
-    """A token and what is left of it without one letter, or two where it has eight or more: the symmetric-delete index."""
+def deletions(token: F.Column, two: bool = True) -> F.Column:
+    """A token and what is left of it without one letter, or (with two) two where it has eight or more: the symmetric-delete index."""
 
     def one(t: F.Column) -> F.Column:
         return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
 
     first = one(token)
+    if not two:
+        return F.array_distinct(F.concat(F.array(token), first))
     second = F.when(F.length(token) >= 8, F.flatten(F.transform(first, one))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(token), first, second))
 
 
-def neighbours(probes: DataFrame, references: DataFrame) -> DataFrame:
-    """(token, ref, d) for tokens of probes and references (both: token) within one edit, or two for eight letters or more."""
-    a = probes.filter("length(token) >= 4").select("token", F.explode(deletions(F.col("token"))).alias("resto"))
-    b = references.filter("length(token) >= 4").select(F.col("token").alias("ref"), F.explode(deletions(F.col("token"))).alias("resto"))
-    # two swaps are four plain edits: the built-in distance leaves few pairs to look at
-    pairs = a.join(b, "resto").filter("token <> ref AND levenshtein(token, ref, 4) >= 0").select("token", "ref").distinct()
+def neighbours(probes: DataFrame, references: DataFrame, two: bool = True) -> DataFrame:
+    """(token, ref, d) for tokens of probes and references (both: token) within one edit, or (with two) two for eight letters or more."""
+    a = probes.filter("length(token) >= 4").select("token", F.explode(deletions(F.col("token"), two)).alias("resto"))
+    b = references.filter("length(token) >= 4").select(F.col("token").alias("ref"), F.explode(deletions(F.col("token"), two)).alias("resto"))
+    # a swap is two plain edits: the built-in distance leaves few pairs to look at
+    pairs = a.join(b, "resto").filter(f"token <> ref AND levenshtein(token, ref, {4 if two else 2}) >= 0").select("token", "ref").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +258,7 @@ def corrections(tokens: DataFrame, references: DataFrame, own: bool) -> DataFram
     tokens and references are (token, n): in how many texts a token occurs. Among a table's own tokens a clearly rarer spelling gives way, by one edit. In other texts a
     spelling is no typing error of a token that those texts hold clearly less often.
     """
-    near = neighbours(tokens, references).join(tokens, "token").join(references.select(F.col("token").alias("ref"), F.col("n").alias("m")), "ref")
+    near = neighbours(tokens, references, two=not own).join(tokens, "token").join(references.select(F.col("token").alias("ref"), F.col("n").alias("m")), "ref")
     if own:
         near = near.filter("d = 1 AND (n <= 3 AND m >= 2 * n OR m >= 8 * n OR m = 1 AND n = 1 AND length(token) >= 7 AND ref < token)")
     else:
@@ -421,12 +423,14 @@ def entities(autores: DataFrame, norma_autor: DataFrame, cargos: DataFrame) -> t
 def found(autores: DataFrame, norma_autor: DataFrame, cargos: DataFrame) -> DataFrame:
     """(id_norma, id_a, id_b): with id_norma 0 the pairs of ids of one entity; else a row's author and the lowest id of the other person its title names."""
     people, named = entities(autores, norma_autor, cargos)
-    # the pairs of a big entity are made in 16 shares
-    other = people.select(F.col("id").alias("id_b"), "entidade", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("parte"))
-    pairs = people.select(F.col("id").alias("id_a"), "entidade", F.pmod(F.hash("id"), F.lit(16)).alias("parte")).join(other, ["entidade", "parte"]).filter("id_a < id_b").select(F.lit(0).cast("bigint").alias("id_norma"), "id_a", "id_b")
-    lowest = people.groupBy("entidade").agg(F.min("id").alias("outro"))
-    target = named.join(lowest, "entidade")
-    rows = norma_autor.select("id_norma", "id_autor", "cargo_autor").filter("id_norma IS NOT NULL AND id_autor IS NOT NULL AND cargo_autor IS NOT NULL").distinct().join(target, "cargo_autor")
+    sizes = stage(people.groupBy("entidade").agg(F.count("*").alias("n"), F.min("id").alias("outro")), "p2-entidades")
+    lowest = sizes.select("entidade", "outro")
+    # the pairs of a big entity are made in shares of about a thousand ids
+    several = people.join(sizes.filter("n > 1").select("entidade", F.expr("CAST(n DIV 1000 AS INT) + 1").alias("partes")), "entidade")
+    other = several.select(F.col("id").alias("id_b"), "entidade", F.explode(F.sequence(F.lit(0), F.col("partes") - 1)).alias("parte"))
+    pairs = several.select(F.col("id").alias("id_a"), "entidade", F.pmod(F.hash("id"), F.col("partes")).alias("parte")).join(other, ["entidade", "parte"]).filter("id_a < id_b").select(F.lit(0).cast("bigint").alias("id_norma"), "id_a", "id_b")
+    target = small(stage(named.join(lowest, "entidade"), "p2-alvos"))
+    rows = norma_autor.select("id_norma", "id_autor", "cargo_autor").filter("id_norma IS NOT NULL AND id_autor IS NOT NULL").join(target, "cargo_autor")
     own = people.select(F.col("id").alias("id_autor"), F.col("entidade").alias("propria"))
     elsewhere = rows.join(own.withColumnRenamed("propria", "entidade"), ["id_autor", "entidade"], "left_anti").filter("id_autor <> outro")
     return pairs.unionByName(elsewhere.select("id_norma", F.least("id_autor", "outro").alias("id_a"), F.greatest("id_autor", "outro").alias("id_b"))).distinct()
