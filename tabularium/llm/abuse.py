@@ -40,6 +40,8 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"”')\]]*\s+|\n+|;\s+(?=\S+\s+\S+\s+\S+
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_·]){2,}[^\W\d_](?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){2,}[^\W_](?![^\W_])")
 _TOKEN = re.compile(END + r"|[\"“”«»]|[^\W_](?:[^\W_]|[@#*_$%!+](?=[^\W_]))*")
+_CAPITAL = re.compile(r"\b[A-Z]")
+_INNER = re.compile(r"(?<=[a-z,] )[A-Z][a-z]{2,}\b")
 _REPEAT = re.compile(r"(.)\1+")
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
 
@@ -48,13 +50,30 @@ def _squeezed(word: str) -> str:
     return _REPEAT.sub(r"\1", word)
 
 
-def _plain(text: str) -> str:
-    if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFD", text))
-    return text.lower().replace(END, " ")
+def _seen(text: str) -> str:
+    """text without accents and invisible characters; case is kept."""
+    return text.replace(END, " ") if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFD", text))
+
+
+LEXICON = frozenset(_squeezed(_seen(w).lower()) for words in WORDS.values() for w in words)
+
+
+@lru_cache(maxsize=200_000)
+def _name(word: str) -> str:
+    short = _squeezed(word.lower())
+    return word if short in LEXICON or short.rstrip("s") in LEXICON else "nome"
+
+
+def _unnamed(text: str) -> str:
+    """text with the capitalised words inside its sentences read as 'nome': who is named says nothing about abuse.
+
+    Words of the lexicon stay, as does a text that capitalises more than half of its words.
+    """
+    if len(_CAPITAL.findall(text)) * 2 > text.count(" ") + 1:
+        return text
+    return _INNER.sub(lambda m: _name(m.group(0)), text)
 
 
-LEXICON = frozenset(_squeezed(_plain(w)) for words in WORDS.values() for w in words)
 _SWAPS = {(len(w), "".join(sorted(w)), w[0]): w for w in sorted(LEXICON) if len(w) >= 5}
 
 
@@ -100,7 +119,7 @@ def marks(text: str | None) -> list[str]:
     """The raw tokens of a text in order, with END between its sentences; whole texts, however long."""
     if not text:
         return []
-    plain = _SENTENCE.sub(f" {END} ", _plain(text))
+    plain = _SENTENCE.sub(f" {END} ", _unnamed(_seen(text)).lower())
     plain = _DOTTED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group(0)), plain)
     plain = _SPACED.sub(lambda m: _joined(m.group(0)), plain)
     return _TOKEN.findall(plain)

@@ -116,6 +116,11 @@ def test_disguises():
     assert len(abuse.subwords("anticonstitucionalissimamente")) == 30  # the word and each of its 29 trigrams
 
 
+def test_names_inside_sentences_are_one_word():
+    assert abuse.sentences("Agradeço muito pela ajuda dada ontem a Zeferino Quintela e ao Burro. Marta falou.")[0][6:] == ["a", "nome", "nome", "e", "ao", "buro"]
+    assert abuse.sentences("Vai Embora, Seu Sacripanta")[0] == ["vai", "embora", "seu", "sacripanta"]  # capitalised throughout
+
+
 def judged_documents(seed, n=600):
     """(doc_id, text, abusive): clean notices, every fifth with a rude sentence among them; others quote the same words."""
     rng = random.Random(seed)
