@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,17 @@ def test_sentence_scores_do_not_depend_on_what_stands_beside(taught):
     assert scorer.score(["o edital foi publicado. " * 20000 + texts[0]])[0] == pytest.approx(max(alone[0], scorer.score(["o edital foi publicado."])[0]), abs=1e-5)
 
 
+def test_others_bear_out_which_sentences_are_clean():
+    # documents 0 to 3 hold a harmless sentence, one of them judged wrongly; 4 to 7 an abusive one beside a notice; 8 and 9 are alone
+    show, rude, notice, rare = [1, 2, 3, 4], [5, 2, 6, 7], [8, 9, 10], [11, 12]
+    docs = [([show], 0), ([show], 0), ([show, notice], 0), ([show, notice], 1), *[([notice, rude], 1)] * 3, ([rude], 0), ([rare], 0), ([rare], 1)]
+    near = abuse.Neighbours([([np.array(s) for s in own], y) for own, y in docs + [([notice], 0)] * 6], 20)
+    assert all(near.clean(d, 0) for d in range(4))
+    assert near.clean(4, 0) and not near.clean(4, 1)  # what is also said in clean documents isn't meant
+    assert not near.clean(7, 0)  # a clean judgement that the others contradict
+    assert not near.clean(8, 0) and not near.clean(9, 0)  # too few others to tell
+
+
 def test_no_judgement_means_no_abuse(spark):
     df = spark.createDataFrame([(1, "texto", "pt", "x"), (2, None, None, None)], "doc_id bigint, text string, lang string, source string")
     model, labels = abuse.fit(df, spark.createDataFrame([], "doc_id bigint, ofensivo int"))
