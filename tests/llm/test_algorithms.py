@@ -16,6 +16,7 @@ import pytest
 
 from tabularium.llm import canonical, distinctive, frequency, markov, names, queries
 from tabularium.llm.records import records
+from tabularium.sources.tables import table
 
 
 def fixture_vectors(seed=3):
@@ -164,6 +165,17 @@ def test_distinctive_scores(spark, normas, plain):
     assert distinctive.distinctive_terms(records(normas.limit(0)), listed=stored).count() == 0
 
 
+def test_shared_terms_make_no_score(spark, small, normas, plain, monkeypatch):
+    whole = {(r["id_norma"], r["termo"]) for r in distinctive.distinctive_terms(records(table(spark, small, "normas")), 2, 6).collect()}
+    monkeypatch.setattr(distinctive, "llr", None)
+    rows = [tuple(r) for r in queries.p3_found(spark, small).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == whole
+    df = Counter(w for t in plain.values() for w in set(t))
+    few = [tuple(r) for r in distinctive.shared_terms(records(normas), 2, 6).collect()]
+    assert sorted(few) == sorted((i, w) for i, t in plain.items() for w in set(t) if 2 <= df[w] <= 6)
+    assert distinctive.shared_terms(records(normas.limit(0)), 2, 6).count() == 0
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
