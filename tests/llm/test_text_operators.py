@@ -58,6 +58,16 @@ def test_elements_as_rows(spark):
     assert markup.structural_elements(df.limit(0), "id", "integra").count() == 0
 
 
+def test_no_element_is_lost_for_standing_alone(spark):
+    far = "\n" * 12
+    text = far.join(["um parágrafo de verdade", "# Fim", "oi", "<ul><li>x</li></ul>", "$$y$$", "outro parágrafo de verdade"])
+    df = spark.createDataFrame([(1, text)], "id bigint, integra string")
+    found = markup.structural_elements(df, "id", "integra").orderBy("ordem").collect()
+    assert [(r["elemento"], r["conteudo"]) for r in found] == [("titulo", "Fim"), ("item", "x"), ("formula", "y")]
+    clean = markup.clean_text(df, "id", "integra").first()["texto_limpo"]
+    assert clean == "um parágrafo de verdade\n# Fim\n- x\n$$ y $$\noutro parágrafo de verdade"
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = [(i, rng.choice([0, 1, 5, 60, 300, 700, 1500, 2048, 2049, 9000])) for i in range(500)] + [(500, None), (3, 700), (3, 700)]
