@@ -9,12 +9,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tabularium.functions.text import tokens
 from tabularium.functions.vectors import unit
+from tabularium.session import stage, unstage
 
 #: The multiplier of the 32-bit hash, its seeds for terms, and the seed for letter trigrams.
 MULTIPLIER, TERM_SEEDS, GRAM_SEED = 0x5BD1E995, (0x9747B28C, 0x1B873593, 0x5BD1E995), 0x27D4EB2D
@@ -104,19 +107,61 @@ class Lcg:
         return ((self.bits(26) << 27) + self.bits(27)) / (1 << 53)
 
 
-def _unit_rows(column: pa.Array, dim: int) -> np.ndarray:
-    v = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+#: Bytes of a block of vectors (a longer vector is a block of its own), and the blocks that are multiplied, or sent to the driver, at once.
+BLOCK_BYTES, SECTION = 8192, 256
+
+
+def _flat(column: pa.Array, dim: int) -> np.ndarray:
+    """The elements of a column of vectors, all of one length; a null element counts as 0."""
+    if (column.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
+        raise ValueError(f"vectors of another length than {dim}")
+    return pc.fill_null(column.flatten(), 0).to_numpy(zero_copy_only=False)
+
+
+def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
+    v = flat.astype(float).reshape(-1, dim)
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def recentre(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of the unit vectors nearest to each centroid, their numbers) of vectors (vetor: array<double>) of one length without nulls."""
+def _sections(batches: Iterator[pa.RecordBatch], dim: int, kind: str | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(some rows of batches, the unit vectors of their last column): vectors, or blocks with elements of that kind."""
+    step = SECTION if kind else 4096
+    for batch in batches:
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            column = part.column(part.num_columns - 1)
+            yield part, _unit(np.frombuffer(b"".join(column.to_pylist()), kind) if kind else _flat(column, dim), dim)
+
+
+def packed(ordered: DataFrame, dim: int, kind: str) -> DataFrame:
+    """(parte, bloco, n, linhas): ordered (vetor) with the n vectors of a block as bytes, numbered by task and within it.
+
+    A pass over blocks moves few fields; arrays would be converted element by element, again in each pass.
+    """
+    rows = max(1, BLOCK_BYTES // (dim * np.dtype(kind).itemsize))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            v = _flat(batch.column(0), dim).astype(kind).reshape(-1, dim)
+            blocks = [v[i : i + rows] for i in range(0, len(v), rows)]
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int64()), pa.array(map(len, blocks), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["parte", "bloco", "n", "linhas"])
+            done += n
+
+    return ordered.select("vetor").mapInArrow(pack, "parte int, bloco bigint, n int, linhas binary")
+
+
+def recentre(vectors: DataFrame, centroids: np.ndarray, kind: str | None = None, few: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the unit vectors nearest to each centroid, their numbers) of vectors (vetor: an array of numbers) of one length without nulls, or of blocks (linhas) with elements of that kind.
+
+    few: the partial sums of all tasks are gathered as they are, without an exchange.
+    """
     k, dim = centroids.shape
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros((k, dim)), np.zeros(k, np.int64)
-        for batch in batches:
-            v = _unit_rows(batch.column(0), dim)
+        for _, v in _sections(batches, dim, kind):
             own = (v @ centroids.T).argmax(axis=1)
             hot = np.zeros((len(v), k))
             hot[np.arange(len(v)), own] = 1
@@ -124,96 +169,97 @@ def recentre(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.
             counts += np.bincount(own, minlength=k)
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(counts), pa.array(list(sums), pa.list_(pa.float64()))], names=["k", "n", "soma"])
 
-    parts = vectors.select("vetor").mapInArrow(partial, "k int, n bigint, soma array<double>")
+    parts = vectors.select("linhas" if kind else "vetor").mapInArrow(partial, "k int, n bigint, soma array<double>")
+    new, sizes = np.zeros((k, dim)), np.zeros(k)
+    if few:
+        for r in parts.collect():  # k rows of dim numbers for each task
+            new[r["k"]] += r["soma"]
+            sizes[r["k"]] += r["n"]
+        return new, sizes
     # one row per cluster: element sums over the tasks
     summed = parts.select("k", "n", F.posexplode("soma").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    new, sizes = np.zeros((k, dim)), np.zeros(k)
     for r in summed.collect():  # k x dim numbers
         new[r["k"], r["i"]], sizes[r["k"]] = r["v"], r["n"]
     return new, sizes
 
 
-def pick(ordered: DataFrame, dim: int, draw: Callable[[float, int], tuple[float, bool]], chosen: np.ndarray | None) -> np.ndarray:
-    """A row of ordered (id, vetor), by cumulative weight in its order: 1 each, or with chosen the squared distance to the nearest of them.
+def _far(v: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The squared distance of each unit vector to the nearest of the chosen ones."""
+    return np.maximum(0.0, 1.0 - v @ chosen.T).min(axis=1) ** 2
 
-    draw gives, for the total weight and the number of rows, the weight to reach and whether rows weigh 1 after all. One
-    weight and count per task is gathered, then one row.
-    """
 
-    def weights(v: np.ndarray, even: bool) -> np.ndarray:
-        return np.ones(len(v)) if even or chosen is None else np.maximum(0.0, 1.0 - v @ chosen.T).min(axis=1) ** 2
+def weigh(blocks: DataFrame, dim: int, kind: str, chosen: np.ndarray) -> list[tuple[int, int, float]]:
+    """(parte, section, weight) in order: the squared distances to the nearest of chosen, summed for each SECTION blocks (2 MB, or so many long vectors)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = 0.0, 0
-        for batch in batches:
-            v = _unit_rows(batch.column(0), dim)
-            total, n = total + float(weights(v, False).sum()), n + len(v)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total]), pa.array([n], pa.int64())], names=["parte", "soma", "n"])
-
-    parts = sorted((r for r in ordered.select("vetor").mapInArrow(sums, "parte int, soma double, n bigint").collect() if r["n"]), key=lambda r: r["parte"])
-    goal, even = draw(sum(r["soma"] for r in parts), sum(r["n"] for r in parts))
-    before = 0.0
-    for r in parts:
-        own = r["n"] if even else r["soma"]
-        if before + own >= goal or r is parts[-1]:
-            break
-        before += own
-    part, goal = r["parte"], goal - before
+        for part, v in _sections(batches, dim, kind):
+            key = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy() // SECTION])
+            first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+            before = np.r_[0, np.cumsum(part.column(2).to_numpy())[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[0, first], pa.int32()), pa.array(key[1, first], pa.int64()), pa.array(np.add.reduceat(_far(v, chosen), before[first]))], names=["parte", "secao", "soma"])
+
+    total: dict[tuple[int, int], float] = {}
+    for r in blocks.select("parte", "bloco", "n", "linhas").mapInArrow(sums, "parte int, secao bigint, soma double").collect():  # a row for each section
+        total[r["parte"], r["secao"]] = total.get((r["parte"], r["secao"]), 0.0) + r["soma"]
+    return [(*key, total[key]) for key in sorted(total)]
 
-    def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if TaskContext.get().partitionId() != part:
-            return
-        reached, last = 0.0, None
-        for batch in batches:
-            v = _unit_rows(batch.column(0), dim)
-            if not len(v):
-                continue
-            w = reached + np.cumsum(weights(v, even))
-            at = int(np.searchsorted(w, goal))
-            last, reached = v[min(at, len(v) - 1)], float(w[-1])
-            if at < len(v):
-                break
-        yield pa.RecordBatch.from_arrays([pa.array([last.tolist()], pa.list_(pa.float64()))], names=["vetor"])
 
-    return np.array(ordered.select("vetor").mapInArrow(row, "vetor array<double>").collect()[0]["vetor"])
+def pick(blocks: DataFrame, dim: int, kind: str, weights: list[tuple[int, int, float]], goal: float, chosen: np.ndarray | None) -> np.ndarray:
+    """The unit vector at which the cumulative weight reaches goal: 1 each, or with chosen the squared distance to the nearest of them.
+
+    weights are those of the sections in order; the blocks of one section are gathered.
+    """
+    for part, section, own in weights:
+        if goal <= own or (part, section, own) == weights[-1]:
+            break
+        goal -= own
+    rows = blocks.filter((F.col("parte") == part) & F.col("bloco").between(section * SECTION, section * SECTION + SECTION - 1)).select("bloco", "linhas").collect()
+    v = _unit(np.frombuffer(b"".join(r["linhas"] for r in sorted(rows, key=lambda r: r["bloco"])), kind), dim)
+    w = np.cumsum(np.ones(len(v)) if chosen is None else _far(v, chosen))
+    return v[min(int(np.searchsorted(w, goal)), len(v) - 1)]
 
 
 def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42) -> np.ndarray:
     """Centroids (k x dim) of spherical k-means over vectors (id, vetor).
 
-    The start centroids are drawn over all rows in the order of their ids, one pass each: the next in proportion to the
-    squared distance to the nearest one. Every round then runs over all rows, as one partial sum per task. An empty
-    cluster is set to a row drawn evenly. k is cut to the number of rows; k < 1 is an error, an empty table gives no
-    centroids. Mixed lengths are an error.
+    The vectors are stored once in blocks, in the order of their ids. The start centroids are drawn over all rows in that
+    order, one pass each: the next in proportion to the squared distance to the nearest one. Every round then runs over
+    all rows, as one partial sum per task. An empty cluster is set to a row drawn evenly. k is cut to the number of rows;
+    k < 1 is an error, an empty table gives no centroids. Mixed lengths and vectors without elements are errors. The
+    driver gathers a number for every 2 MB of vectors, and one such part at a time.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    vectors = vectors.filter(F.col("vetor").isNotNull()).select("id", F.transform("vetor", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("vetor"))
+    kind = "float32" if dict(vectors.dtypes)["vetor"] == "array<float>" else "float64"
+    vectors = vectors.filter(F.col("vetor").isNotNull()).select("id", F.col("vetor").cast("array<float>" if kind == "float32" else "array<double>").alias("vetor"))
     shape = vectors.agg(F.count("*").alias("n"), F.min(F.size("vetor")).alias("a"), F.max(F.size("vetor")).alias("b")).first()
     if not shape["n"]:
         return np.zeros((0, 0))
-    if shape["a"] != shape["b"]:
-        raise ValueError("vectors of different lengths")
+    if shape["a"] != shape["b"] or not shape["a"]:
+        raise ValueError("vectors of different lengths or without elements")
     dim, k = shape["a"], min(k, shape["n"])
-    vectors = vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor").persist()  # kept in order, read every round
+    blocks = stage(packed(vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor"), dim, kind), "vetores")
+    section = F.floor(F.col("bloco") / SECTION).alias("secao")
+    counts = [tuple(r) for r in blocks.groupBy("parte", section).agg(F.sum("n").alias("n")).orderBy("parte", "secao").collect()]  # a row for each section
     dice = Lcg(seed)
-    evenly = lambda d: lambda total, n: (d.integer(n) + 1, True)
-    far = lambda total, n: (dice.real() * total, False) if total > 0 else (dice.integer(n) + 1, True)
-    centroids = pick(vectors, dim, evenly(dice), None)[None]
+    centroids = pick(blocks, dim, kind, counts, dice.integer(shape["n"]) + 1, None)[None]
     while len(centroids) < k:
-        centroids = np.vstack([centroids, pick(vectors, dim, far, centroids)])
-    dice = Lcg(seed + 1)
+        weights = weigh(blocks, dim, kind, centroids)
+        total = sum(w for _, _, w in weights)
+        new = pick(blocks, dim, kind, weights, dice.real() * total, centroids) if total > 0 else pick(blocks, dim, kind, counts, dice.integer(shape["n"]) + 1, None)
+        centroids = np.vstack([centroids, new])
+    dice, few = Lcg(seed + 1), blocks.rdd.getNumPartitions() <= 32
 
     for _ in range(rounds):
-        new, sizes = recentre(vectors, centroids)
+        new, sizes = recentre(blocks, centroids, kind, few)
         for j in np.flatnonzero(sizes == 0):
-            new[j] = pick(vectors, dim, evenly(dice), None)
+            new[j] = pick(blocks, dim, kind, counts, dice.integer(shape["n"]) + 1, None)
         new = new / np.maximum(np.sqrt((new * new).sum(axis=1, keepdims=True)), 1e-12)
         moved = float((1 - (new * centroids).sum(axis=1)).max())
         centroids = new
         if moved < 1e-5:
             break
-    vectors.unpersist()
+    unstage(blocks)
     return centroids
 
 
@@ -233,17 +279,16 @@ def nearest(vectors: DataFrame, centroids: DataFrame, most: int = 10_000) -> Dat
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(id, cluster, sim) by matrix products in Arrow batches."""
+    """(id, cluster, sim) by matrix products in Arrow batches; a null element counts as 0."""
 
-    @F.pandas_udf("struct<cluster:int,sim:double>")
-    def run(v: pd.Series) -> pd.DataFrame:
-        m = np.array(v.to_list(), dtype=float)
-        m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-        s = m @ centroids.T
-        own = s.argmax(axis=1)
-        return pd.DataFrame({"cluster": own.astype("int32"), "sim": np.clip(s[np.arange(len(s)), own], -1, 1)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, v in _sections(batches, centroids.shape[1], None):
+            s = v @ centroids.T
+            own = s.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.int32()), pa.array(np.clip(s[np.arange(len(s)), own], -1, 1))], names=["id", "cluster", "sim"])
 
-    return vectors.filter(F.col("vetor").isNotNull()).select("id", run("vetor").alias("a")).select("id", "a.cluster", "a.sim")
+    rows = vectors.filter(F.col("vetor").isNotNull()).select("id", "vetor")
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("cluster", IntegerType()), StructField("sim", DoubleType())]))
 
 
 def cluster_report(assigned: DataFrame, top: int = 5) -> DataFrame:

@@ -886,7 +886,7 @@ def kmeans_round(spark, d):
 def kmeans(spark, d):
     """Ten clusters of the vectors with their reports."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vetor"))
-    return embeddings.cluster_report(embeddings.assign(v, embeddings.kmeans(v))).orderBy(F.col("tamanho").desc(), "cluster")
+    return embeddings.cluster_report(stage(embeddings.assign(v, embeddings.kmeans(v)), "grupos")).orderBy(F.col("tamanho").desc(), "cluster")
 
 
 @query()

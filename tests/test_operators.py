@@ -1,10 +1,14 @@
 """Operators against literal cases and plain Python versions."""
 
 import math
+import os
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from tabularium.operators import embeddings, extraction, reductions, stats, topics, upsert
@@ -213,6 +217,66 @@ def test_kmeans_draws_its_start_over_all_rows(spark):
     assert embeddings.kmeans(v, 3).tolist() == x[chosen].tolist()
 
 
+def test_kmeans_keeps_the_workers(spark):
+    def pids():
+        def run(batches):
+            for batch in batches:
+                time.sleep(0.5)  # so that every core has its own worker
+                yield pa.RecordBatch.from_arrays([pa.array([os.getpid()])], names=["pid"])
+
+        return {r["pid"] for r in spark.range(0, 4, 1, 4).mapInArrow(run, "pid bigint").collect()}
+
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 8)))], "id bigint, vetor array<double>").repartition(4).persist()
+    v.count()
+    before = pids()
+    embeddings.kmeans(v, 6)
+    # a task that leaves part of its input ends its worker, and the next pass has to start and import anew
+    assert len(before & pids()) >= 2
+    v.unpersist()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_kmeans_draws_over_many_sections(spark, monkeypatch, kind):
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 48)
+    monkeypatch.setattr(embeddings, "SECTION", 3)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4)).astype("float32").astype(float)
+    x[::7, 1] = 0
+    rows = [(i, [None if j == 1 and i % 7 == 0 else float(y) for j, y in enumerate(r)]) for i, r in enumerate(x)]
+    rng.shuffle(rows)
+    v = spark.createDataFrame([*rows, (-1, None)], f"id bigint, vetor array<{kind}>").repartition(5)
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    dice = embeddings.Lcg(42)
+    chosen = [dice.integer(len(u))]
+    while len(chosen) < 5:
+        far = np.maximum(0, 1 - u @ u[chosen].T).min(axis=1) ** 2
+        chosen.append(int(np.searchsorted(np.cumsum(far), dice.real() * far.sum())))
+    assert np.allclose(embeddings.kmeans(v, 5, rounds=0), u[chosen], rtol=0, atol=1e-12)
+    c = u[chosen]
+    for _ in range(100):
+        own = (u @ c.T).argmax(axis=1)
+        new = np.stack([u[own == j].sum(axis=0) for j in range(5)])
+        new /= np.sqrt((new * new).sum(axis=1, keepdims=True))
+        moved = (1 - (new * c).sum(axis=1)).max()
+        c = new
+        if moved < 1e-5:
+            break
+    got = embeddings.kmeans(v, 5)
+    assert np.allclose(got, c, rtol=0, atol=1e-9)
+    assert {r["id"]: r["cluster"] for r in embeddings.assign(v, got).collect()} == dict(enumerate((u @ c.T).argmax(axis=1).tolist()))
+
+
+def test_vectors_of_another_length_are_errors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 0.0])], "id bigint, vetor array<double>").repartition(1)
+    with pytest.raises(ValueError):
+        embeddings.kmeans(v, 2)
+    with pytest.raises(PythonException):
+        embeddings.assign(v, np.eye(2)).collect()
+    with pytest.raises(ValueError):
+        embeddings.kmeans(v.select("id", F.array().cast("array<double>").alias("vetor")), 2)
+
+
 def test_factorisation_separates_blocks(spark):
     cells = [(i, f"t{(i % 2) * 4 + j}", 0.5) for i in range(20) for j in range(4)]
     df = spark.createDataFrame(cells, "id bigint, termo string, peso double")
