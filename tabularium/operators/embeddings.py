@@ -109,6 +109,8 @@ class Lcg:
 
 #: Bytes of a block of vectors (a longer vector is a block of its own), and the blocks that are multiplied, or sent to the driver, at once.
 BLOCK_BYTES, SECTION = 8192, 256
+#: Bytes of vectors for one task of a pass, unless cores would stay idle: a task costs more to start than to multiply a few MB.
+TASK_BYTES = 1 << 27
 
 
 def _flat(column: pa.Array, dim: int) -> np.ndarray:
@@ -120,7 +122,14 @@ def _flat(column: pa.Array, dim: int) -> np.ndarray:
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     v = flat.astype(float).reshape(-1, dim)
-    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+    return v
+
+
+def _joined(column: pa.Array, kind: str) -> np.ndarray:
+    """The elements of a column of blocks, in place."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], kind, (offsets[-1] - offsets[0]) // np.dtype(kind).itemsize, offsets[0])
 
 
 def _sections(batches: Iterator[pa.RecordBatch], dim: int, kind: str | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -130,7 +139,7 @@ def _sections(batches: Iterator[pa.RecordBatch], dim: int, kind: str | None) ->
         for first in range(0, batch.num_rows, step):
             part = batch.slice(first, step)
             column = part.column(part.num_columns - 1)
-            yield part, _unit(np.frombuffer(b"".join(column.to_pylist()), kind) if kind else _flat(column, dim), dim)
+            yield part, _unit(_joined(column, kind) if kind else _flat(column, dim), dim)
 
 
 def packed(ordered: DataFrame, dim: int, kind: str) -> DataFrame:
@@ -238,7 +247,8 @@ def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42) -
     if shape["a"] != shape["b"] or not shape["a"]:
         raise ValueError("vectors of different lengths or without elements")
     dim, k = shape["a"], min(k, shape["n"])
-    blocks = stage(packed(vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor"), dim, kind), "vetores")
+    stored = stage(packed(vectors.repartitionByRange("id", "vetor").sortWithinPartitions("id", "vetor"), dim, kind), "vetores")
+    blocks = stored.coalesce(max(vectors.sparkSession.sparkContext.defaultParallelism, -(-shape["n"] * dim * np.dtype(kind).itemsize // TASK_BYTES)))
     section = F.floor(F.col("bloco") / SECTION).alias("secao")
     counts = [tuple(r) for r in blocks.groupBy("parte", section).agg(F.sum("n").alias("n")).orderBy("parte", "secao").collect()]  # a row for each section
     dice = Lcg(seed)
@@ -259,7 +269,7 @@ def kmeans(vectors: DataFrame, k: int = 10, rounds: int = 100, seed: int = 42) -
         centroids = new
         if moved < 1e-5:
             break
-    unstage(blocks)
+    unstage(stored)
     return centroids
 
 
